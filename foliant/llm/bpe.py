@@ -37,7 +37,7 @@ from foliant.llm.common import doc_rows, map_rows, raw_texts
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Texts of these need no composition.
 PLAIN = re.compile("[\x00-˿]*\\Z")
-CACHE = 400_000
+CACHE = 300_000
 #: Longer chunks aren't kept in the cache.
 LONGEST = 64
 #: Words up to so many bytes are merged in batches.
@@ -266,13 +266,16 @@ class Pieces(dict):
 
 
 class Encoder(dict):
-    """Chunks to their ids as little-endian bytes. Bounded: cleared when full; long chunks aren't kept."""
+    """Chunks to their ids as little-endian bytes. Bounded: when full it becomes the old generation; long chunks aren't kept."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if chunk in self.old:
+            return self.old[chunk]
         text, m = chunk.decode(), self.merges
         ids = np.fromiter(m.chunk(text), "<u4").tobytes() if "<|" in text else np.array([i for p in m.pieces_of(text) for i in m.pieces[p]], "<u4").tobytes()
         if len(chunk) <= LONGEST:
@@ -299,9 +302,13 @@ class Encoder(dict):
         split = [t.split() for t in texts]
         fresh = {c for chunks in split for c in chunks if c not in self and len(c) <= LONGEST}
         merges, pieces = self.merges, self.merges.pieces
-        plain = [c for c in fresh if b"<|" not in c]
-        if len(self) + len(plain) > CACHE:
+        again = fresh & self.old.keys()
+        plain = [c for c in fresh - again if b"<|" not in c]
+        back = {c: self.old[c] for c in again}
+        if len(self) + len(fresh) > CACHE:
+            self.old = dict(self)
             self.clear()
+        self.update(back)
         found = merges.lines.findall(merges.normal(b"\n".join(plain).decode())) if plain else []
         short = [(w, b) for w in set(found) if w not in pieces and len(b := w.encode()) <= SHORT and w != "\n"]
         if len(pieces) + len(short) > CACHE:

@@ -16,6 +16,7 @@ item_id is one item. Repeated documents give a row each. Empty tables give no hi
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import repeat
@@ -176,10 +177,11 @@ BUILT: dict = {}
 
 def automaton(shared, window: int) -> SuffixAutomaton:
     """Built once in a worker for each block; only the latest is kept."""
-    key = (shared.id, window)
+    name, items = shared.value
+    key = (name, window)
     if key not in BUILT:
         BUILT.clear()
-        BUILT[key] = SuffixAutomaton(shared.value, window)
+        BUILT[key] = SuffixAutomaton(items, window)
     return BUILT[key]
 
 
@@ -203,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: Leaks = Leaks()) -> D
 
 
 def scan_block(docs: DataFrame, block: list[tuple[str | None, bytes]], cfg: Leaks, schema: str, again: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
     def start():
         found = automaton(shared, cfg.window)
@@ -255,7 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: Leaks = Leaks()) -
     columns = docs.schema
     names = columns.names
     for block in blocks(benchmark, cfg):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches, shared=shared):
             found = automaton(shared, cfg.window)
