@@ -7,7 +7,7 @@ of similarity s share a key with probability (1 - (1 - s^k)^m)^2.
 
 Candidates are confirmed on full sets (64-bit shingle hashes). Inside a bucket no list of all pairs is
 made: members are compared with the bucket's hub, the links found are contracted to components, and what
-still spans several components is compared across components only. So a group of thousands of
+still spans several components is compared across components only, where sizes and bucket parities leave room for the similarity. So a group of thousands of
 near copies costs about one comparison a member, and no candidate is given up.
 
 Defined results. Equal sets are one class. Null or wordless texts: empty set, linked with nothing,
@@ -38,10 +38,16 @@ class NearDup:
     percent: int = 80
     groups: int = 9
     width: int = 3
-    hub_rounds: int = 2
+    hub_rounds: int = 4
     seed: int = 20_240_101
 
 
+#: Buckets of the parity, and 64-bit integers that hold them.
+BUCKETS = 512
+PARTS = BUCKETS // 64
+PARITY = [f"p{i}" for i in range(PARTS)]
+
+
 class Words(dict):
     """64-bit hashes of words; cleared when large, so that memory stays bounded."""
 
@@ -128,20 +134,23 @@ def sketcher(cfg: NearDup):
 
 
 def set_reader(words: int):
-    """(rep, d1, d2, text) to (rep, items); rows whose text isn't of that digest go."""
+    """(rep, d1, d2, text) to (rep, items, parity); rows whose text isn't of that digest go. Bit i of the parity tells whether an odd
+    number of the items falls into bucket i, so that two sets differ in at least as many items as their parities in bits."""
 
     def start():
         known = Words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rep, items = [], []
+            rep, items, parity = [], [], []
             for r, a, b, text in zip(batch.column("rep").to_pylist(), batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), raw_texts(batch), strict=True):
                 s = shingle_set(text, words, known)
                 if len(s) and digest(s) == (a, b):
                     rep.append(r)
                     items.append(pa.array(s.view(np.int64)))
+                    odd = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
-            return pa.record_batch({"rep": pa.array(rep, pa.int64()), "items": pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(items) if items else pa.array([], pa.int64()))})
+            return pa.record_batch({"rep": pa.array(rep, pa.int64()), "items": pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(items) if items else pa.array([], pa.int64()))} | {f"p{i}": pa.array([x[i] for x in parity], pa.int64()) for i in range(PARTS)})
 
         return step
 
@@ -153,6 +162,12 @@ def alike(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
+def near_parity(prefix: str, sizes: Column, percent: int) -> Column:
+    """Whether the sets can differ in few enough items: no pair that is similar enough is left out."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(prefix + p))) for p in PARITY), F.lit(0))
+    return differ * (100 + percent) <= sizes * (100 - percent)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough on their full sets."""
     with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a")
@@ -187,23 +202,26 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
         crowd = post.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
         shared = scratch.keep(post.join(crowd, "key"))
         wanted = shared.select("rep", "d1", "d2").distinct()
-        sets = scratch.keep(map_rows(wanted.join(rows, F.col("rep") == F.col("doc_id")).select("rep", "d1", "d2", "text"), set_reader(cfg.words), "rep long, items array<long>"))
+        sets = scratch.keep(map_rows(wanted.join(rows, F.col("rep") == F.col("doc_id")).select("rep", "d1", "d2", "text"), set_reader(cfg.words), "rep long, items array<long>" + "".join(f", {p} long" for p in PARITY)))
         shared = shared.select("key", "rep", "n")
-        comp = scratch.keep(shared.select("rep").distinct().withColumn("comp", F.col("rep")))
+        comp = scratch.keep(sets.select("rep", F.col("rep").alias("comp"), *PARITY))
         tested = None
         for turn in range(cfg.hub_rounds + 1):
+            if turn:  # only buckets that still span components are looked at again
+                spans = shared.join(comp.select("rep", "comp"), "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+                shared = scratch.keep(shared.join(spans, "key"))
             at = shared.join(comp, "rep") if turn else shared.withColumn("comp", F.col("rep"))
-            last = turn == cfg.hub_rounds
+            last, own = turn == cfg.hub_rounds, PARITY if turn else []
             if not last:
-                hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "h.*")
-                pairs = at.join(hub, "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent)).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+                hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *(F.col(p).alias("hub_" + p) for p in own))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "h.*")
+                pairs = at.join(hub, "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent) & (near_parity("hub_", F.col("n") + F.col("hub_n"), cfg.percent) if turn else F.lit(True))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
             else:
                 # what spans components: all but the largest component of a bucket, against the other components
                 sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
                 main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
                 inside = at.join(main, "key")
-                rest = inside.filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("comp").alias("rc"))
-                pairs = rest.join(inside, "key").filter((F.col("comp") != F.col("rc")) & alike(F.col("n"), F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+                rest = inside.filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("comp").alias("rc"), *(F.col(p).alias("r_" + p) for p in PARITY))
+                pairs = rest.join(inside, "key").filter((F.col("comp") != F.col("rc")) & alike(F.col("n"), F.col("rn"), cfg.percent) & near_parity("r_", F.col("n") + F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -215,7 +233,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
             tested = pairs if tested is None else tested.union(pairs)
             if not links.isEmpty():
                 roots = components(scratch, links)
-                comp = scratch.keep(comp.join(roots, comp["comp"] == roots["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp")))
+                comp = scratch.keep(comp.join(roots, comp["comp"] == roots["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"), *PARITY))
         of_class = classes.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
         known = sketches.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
         out = known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
