@@ -38,7 +38,7 @@ class NearDup:
     percent: int = 80
     groups: int = 9
     width: int = 3
-    hub_rounds: int = 4
+    hub_rounds: int = 2
     seed: int = 20_240_101
 
 
@@ -204,24 +204,25 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
         wanted = shared.select("rep", "d1", "d2").distinct()
         sets = scratch.keep(map_rows(wanted.join(rows, F.col("rep") == F.col("doc_id")).select("rep", "d1", "d2", "text"), set_reader(cfg.words), "rep long, items array<long>" + "".join(f", {p} long" for p in PARITY)))
         shared = shared.select("key", "rep", "n")
-        comp = scratch.keep(sets.select("rep", F.col("rep").alias("comp"), *PARITY))
+        comp = scratch.keep(sets.select("rep", F.col("rep").alias("comp"), F.size("items").cast("long").alias("n"), *PARITY))
         tested = None
         for turn in range(cfg.hub_rounds + 1):
             if turn:  # only buckets that still span components are looked at again
                 spans = shared.join(comp.select("rep", "comp"), "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
                 shared = scratch.keep(shared.join(spans, "key"))
-            at = shared.join(comp, "rep") if turn else shared.withColumn("comp", F.col("rep"))
+            at = shared.join(comp.drop("n"), "rep") if turn else shared.withColumn("comp", F.col("rep"))
             last, own = turn == cfg.hub_rounds, PARITY if turn else []
             if not last:
                 hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *(F.col(p).alias("hub_" + p) for p in own))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "h.*")
                 pairs = at.join(hub, "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent) & (near_parity("hub_", F.col("n") + F.col("hub_n"), cfg.percent) if turn else F.lit(True))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
             else:
-                # what spans components: all but the largest component of a bucket, against the other components
+                # what spans components: all but the largest component of a bucket, once for each other component that it meets
                 sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
                 main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
-                inside = at.join(main, "key")
-                rest = inside.filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("comp").alias("rc"), *(F.col(p).alias("r_" + p) for p in PARITY))
-                pairs = rest.join(inside, "key").filter((F.col("comp") != F.col("rc")) & alike(F.col("n"), F.col("rn"), cfg.percent) & near_parity("r_", F.col("n") + F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+                rest = at.join(main, "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"))
+                meets = rest.join(sizes.select("key", "comp"), "key").filter("comp <> rc").select("r", "comp").distinct()
+                one = comp.select(F.col("rep").alias("r"), F.col("n").alias("rn"), *(F.col(p).alias("r_" + p) for p in PARITY))
+                pairs = meets.join(one, "r").join(comp, "comp").filter(alike(F.col("n"), F.col("rn"), cfg.percent) & near_parity("r_", F.col("n") + F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
             tested = pairs if tested is None else tested.union(pairs)
             if not links.isEmpty():
                 roots = components(scratch, links)
-                comp = scratch.keep(comp.join(roots, comp["comp"] == roots["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"), *PARITY))
+                comp = scratch.keep(comp.join(roots, comp["comp"] == roots["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"), "n", *PARITY))
         of_class = classes.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
         known = sketches.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
         out = known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
