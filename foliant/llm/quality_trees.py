@@ -57,7 +57,7 @@ def train(x: np.ndarray, y: np.ndarray, cfg: Boosting) -> Forest:
     inner, leaves = 2**cfg.depth - 1, 2**cfg.depth
     share = float(y.mean()) if len(y) else 0.5
     empty = Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return empty
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, cfg.bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1)
