@@ -66,7 +66,8 @@ def removals(docs: DataFrame, cfg: LineSpread) -> DataFrame:
 def dedup_lines(docs: DataFrame, cfg: LineSpread = LineSpread()) -> DataFrame:
     """The given columns with boilerplate lines out of ``text``, and __n_lines and __n_removed."""
     gone = removals(docs, cfg).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__tk")), "left")
+    # the same join at every size: texts are dealt by hash once, however small the other side
+    out = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")) & (text_key(docs["text"]) == F.col("__tk")), "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
