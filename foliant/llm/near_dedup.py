@@ -245,8 +245,8 @@ def keep_one(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """The documents that stay: one of each group, and every one that is linked with nothing. Of repeated rows
     one stays, unless they have no words or no doc_id."""
     found = near_duplicates(docs, cfg)
-    drop = found.filter("not kept").select("doc_id").distinct()
-    rest = docs.join(drop, "doc_id", "left_anti")
-    many = found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
-    once = rest.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(many, "doc_id", "left_anti").unionByName(once)
+    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(~F.col("kept")).alias("__drop"), F.count_if(F.col("n_shingles") > 0).alias("__rows")).filter("__drop or __rows > 1").withColumnRenamed("doc_id", "__id")
+    # the same join at every size
+    rest = docs.join(each.hint("merge"), docs["doc_id"] == F.col("__id"), "left").filter("not coalesce(__drop, false)")
+    single, many = rest.filter("coalesce(__rows, 0) <= 1").select(*docs.columns), rest.filter("__rows > 1").select(*docs.columns)
+    return single.unionByName(many.dropDuplicates(["doc_id"]))
