@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE", tokens),
 ]
 
-#: Classifier, suffix automaton and BPE aren't SQL; the tests hold each stage against a brute-force version.
+#: Classifier, suffix automaton and BPE aren't SQL; the tests hold the operators against brute-force versions and run the whole.
 ORACLE_SQL = None
 
 
