@@ -7,7 +7,8 @@ of similarity s share a key with probability (1 - (1 - s^k)^m)^2.
 
 Candidates are confirmed on full sets (64-bit shingle hashes). Inside a bucket no list of all pairs is
 made: members are compared with the bucket's hub, the links found are contracted to components, and what
-still spans several components is compared across components only, where sizes and bucket parities leave room for the similarity. So a group of thousands of
+still spans several components is compared across components only, where sets share one of their rarest shingles (an exact prefix filter)
+and sizes and bucket parities leave room for the similarity. So a group of thousands of
 near copies costs about one comparison a member, and no candidate is given up.
 
 Defined results. Equal sets are one class. Null or wordless texts: empty set, linked with nothing,
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import Scratch, cut, doc_rows, map_rows, mix64, raw_texts
@@ -176,6 +177,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.size("ia") + F.size("ib") - common) * percent).select("a", "b")
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, items) to (key, rep): the items that come first of each set, rarest of all first, and occur in several sets. Two sets that are
+    similar enough share at least ``percent`` of the larger one, so one of the first n - ceil(n * percent / 100) + 1 of either is in both."""
+    each = sets.select("rep", F.xxhash64("items").alias("w"), F.size("items").cast("long").alias("n"), F.explode("items").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    of_set = Window.partitionBy("rep", "w")
+    found = each.join(often, "key").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(of_set)).withColumn("at", F.row_number().over(of_set.orderBy("f", "key")))
+    return found.filter(F.col("alone") + F.col("at") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("key", "rep")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that can be reached. Minimum labels with pointer jumping; every
     round is a written table."""
@@ -216,7 +227,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
                 hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *(F.col(p).alias("hub_" + p) for p in own))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "h.*")
                 pairs = at.join(hub, "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent) & (near_parity("hub_", F.col("n") + F.col("hub_n"), cfg.percent) if turn else F.lit(True))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
             else:
-                # what spans components: all but the largest component of a bucket, once for each other component that it meets
+                # of all sets in buckets that span components, those that share one of their rarest items; of these, all but the largest component that has the item, once for each other component that it meets
+                at = rarest(shared.select("rep").distinct().join(sets.select("rep", "items"), "rep"), cfg.percent).join(comp.select("rep", "comp"), "rep")
+                at = scratch.keep(at)
                 sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
                 main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
                 rest = at.join(main, "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"))

@@ -69,6 +69,27 @@ def test_near_duplicates(spark, corpus, words):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_passage_in_many_documents(spark):
+    """A passage of most words of every document: buckets full of documents that aren't linked, and some that are."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((8, 12, 20, 40))))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 40, 2)]
+    got = near_dedup.near_duplicates(docs(spark, rows), near_dedup.NearDup(words=2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+
+
+def test_rarest_items_lose_no_pair(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 60, (12, 40))
+    sets = {i: sorted({int(x) if rng.random() > 0.08 else int(rng.integers(0, 400)) for x in base[i % 12]}) for i in range(90)}
+    keys = {}
+    for r in near_dedup.rarest(spark.createDataFrame([(i, x) for i, x in sets.items()], "rep long, items array<long>"), 80).collect():
+        keys.setdefault(r.rep, set()).add(r.key)
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+    assert near and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
 
