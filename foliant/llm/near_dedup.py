@@ -178,13 +178,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, items) to (key, rep): the items that come first of each set, rarest of all first, and occur in several sets. Two sets that are
-    similar enough share at least ``percent`` of the larger one, so one of the first n - ceil(n * percent / 100) + 1 of either is in both."""
+    """(rep, items) to (key, rep, n, room): the items that come first of each set, rarest of all first, and occur in several sets. Two sets that are
+    similar enough share at least ``percent`` of the larger one, so one of the first n - ceil(n * percent / 100) + 1 of either is in both.
+    room is how many items the set has from that one on: no pair that has it as its first common item shares more than the smaller room."""
     each = sets.select("rep", F.xxhash64("items").alias("w"), F.size("items").cast("long").alias("n"), F.explode("items").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     of_set = Window.partitionBy("rep", "w")
-    found = each.join(often, "key").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(of_set)).withColumn("at", F.row_number().over(of_set.orderBy("f", "key")))
-    return found.filter(F.col("alone") + F.col("at") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("key", "rep")
+    found = each.join(often, "key").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(of_set)).withColumn("room", F.col("n") - F.col("alone") - F.row_number().over(of_set.orderBy("f", "key")) + 1)
+    return found.filter(F.col("room") >= F.floor((F.col("n") * percent + 99) / 100)).select("key", "rep", "n", "room")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -230,10 +231,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
                 # of all sets in buckets that span components, those that share one of their rarest items; of these, all but the largest component that has the item, once for each other component that it meets
                 at = rarest(shared.select("rep").distinct().join(sets.select("rep", "items"), "rep"), cfg.percent).join(comp.select("rep", "comp"), "rep")
                 at = scratch.keep(at)
-                sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+                sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("far"))
                 main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
-                rest = at.join(main, "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"))
-                meets = rest.join(sizes.select("key", "comp"), "key").filter("comp <> rc").select("r", "comp").distinct()
+                rest = at.join(main, "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"), "n", "room")
+                fits = (F.col("n") * cfg.percent <= F.col("hi") * 100) & (F.col("lo") * cfg.percent <= F.col("n") * 100) & (F.least("room", "far") * (100 + cfg.percent) >= (F.col("n") + F.col("lo")) * cfg.percent)
+                meets = rest.join(sizes.drop("c"), "key").filter((F.col("comp") != F.col("rc")) & fits).select("r", "comp").distinct()
                 one = comp.select(F.col("rep").alias("r"), F.col("n").alias("rn"), *(F.col(p).alias("r_" + p) for p in PARITY))
                 pairs = meets.join(one, "r").join(comp, "comp").filter(alike(F.col("n"), F.col("rn"), cfg.percent) & near_parity("r_", F.col("n") + F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
             pairs = pairs.distinct()
