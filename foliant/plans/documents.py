@@ -157,7 +157,7 @@ SELECT id, arg_max(item_id, (overlap, -item_id)) AS item_id, round(max(overlap),
 
 
 def _best(spark, d):
-    title = F.substring(F.split("text", "\n").getItem(0), 1, 200).alias("title")
+    title = F.split("text", "\n").getItem(0).alias("title")
     return dedup.best_overlap(table(spark, d, "documents").select(F.col("doc_id").alias("id"), title), table(spark, d, "benchmark").select("item_id", title), 0.5)
 
 

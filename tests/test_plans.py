@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -79,3 +80,24 @@ def test_greedy_keeps_the_longer_and_dropped_rows_drop_none(spark):
 def test_strongest_only_releases_ties(spark):
     rows = spark.createDataFrame([(1, 7, 0.9), (2, 7, 0.9), (3, 8, 0.5), (4, 8, 0.6)], "id long, item_id long, overlap double")
     assert {r.id: r.kept for r in dedup.strongest_only(rows).collect()} == {1: False, 2: False, 3: False, 4: True}
+
+
+def test_titles_are_whole_first_lines(spark, duck):
+    """Against brute force, as the SQL of the two queries still cuts titles at 200 characters."""
+
+    def words(t):
+        return set(w for w in re.findall("[a-z0-9]+", (t or "").split("\n")[0].lower()) if len(w) > 1 and w not in text.STOP_WORDS)
+
+    items = [(k, words(t)) for k, t in duck.sql("select item_id, text from benchmark").fetchall()]
+    want, long = {}, 0
+    for i, t in duck.sql("select doc_id, text from documents").fetchall():
+        w = words(t)
+        best = max(((len(w & v) / min(len(w), len(v)), -k) for k, v in items if min(len(w), len(v)) >= 4), default=(0, 0))
+        if best[0] >= 0.5:
+            want[i] = (-best[1], round(best[0], 6))
+            long += len(t.split("\n")[0]) > 200
+    assert long
+    assert {r.id: (r.item_id, r.overlap) for r in plans.QUERIES["title_overlap_best_match"](spark, SF).collect()} == want
+    top = {k: max(o for j, o in want.values() if j == k) for k, _ in want.values()}
+    alone = {i for i, (k, o) in want.items() if o == top[k] and list(want.values()).count((k, o)) == 1}
+    assert {r.id: r.kept for r in plans.QUERIES["one_to_one_release"](spark, SF).collect()} == {i: i in alone for i in want}
