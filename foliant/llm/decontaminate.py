@@ -19,7 +19,7 @@ import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -252,32 +252,94 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: Leaks = Leaks()) -> DataFrame:
-    """The documents, in their own columns, without leaked spans; those over the coverage limit are dropped. What a
-    removal brings together is looked at again."""
-    columns = docs.schema
-    names = columns.names
-    for block in blocks(benchmark, cfg):
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
-
-        def run(batches, shared=shared):
-            found = automaton(shared, cfg.window)
-            for batch in batches:
-                at, keep, new = names.index("text"), [], []
-                for i, text in enumerate(raw_texts(batch)):
-                    whole = len(words := words_of(text))
-                    gone, changed = 0, False
-                    while spans := [(a, b) for a, b in found.scan(words)[0] if b - a >= cfg.min_span]:
-                        gone += sum(b - a for a, b in spans)
-                        if gone > cfg.max_coverage * whole:
-                            break
-                        text, changed = without(text, spans), True
-                        words = words_of(text)
-                    if gone <= cfg.max_coverage * whole:
-                        keep.append(i)
-                        new.append(text.decode() if changed else batch.column(at)[i].as_py())
-                if keep:
-                    kept = batch.take(pa.array(keep))
-                    yield kept.set_column(at, kept.schema.field(at), pa.array(new, kept.schema.field(at).type))
-
-        docs = docs.mapInArrow(run, columns)
-    return docs
+    """The documents, in their own columns, without leaked spans; those over the coverage limit are dropped. The limit is on
+    the spans of all blocks together, over the words of the document as it came. What a removal brings together is looked at
+    again, by all blocks."""
+    todo = blocks(benchmark, cfg)
+    block = next(todo)
+    after = next(todo, None)
+    if after is None:
+        return one_block(docs, block, cfg)
+    # the own columns, and what is known of a row: spans of this round, words as it came, words gone, whether it is to be looked at again
+    names = docs.columns
+    know = F.struct(F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("long").alias("whole"), F.lit(0).cast("long").alias("gone"), F.lit(True).alias("open"))
+    state = "__" + uuid.uuid4().hex
+    left, done = docs.withColumn(state, know), None
+    while True:
+        for part in chain([block, after], todo) if done is None else blocks(benchmark, cfg):
+            left = cut(mark(left, part, cfg, state))
+        turned = cut(remove_marked(left, cfg, state))
+        over = turned.filter(~F.col(f"{state}.open")).select(*names)
+        done = over if done is None else done.unionByName(over)
+        left = turned.filter(f"{state}.open")
+        if left.isEmpty():
+            return done
+
+
+def mark(docs: DataFrame, block: list[tuple[str | None, bytes]], cfg: Leaks, state: str) -> DataFrame:
+    """The rows with the block's spans merged into those of this round."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+    def run(batches):
+        found = automaton(shared, cfg.window)
+        for batch in batches:
+            known = batch.column(state).to_pylist()
+            for text, row in zip(raw_texts(batch), known, strict=True):
+                spans = found.scan(words_of(text))[0]
+                row["spans"] = [{"start": a, "end": b} for a, b in merge(spans + [(x["start"], x["end"]) for x in row["spans"] or []])]
+            at = batch.schema.get_field_index(state)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(known, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def remove_marked(docs: DataFrame, cfg: Leaks, state: str) -> DataFrame:
+    """Ends a round: the rows that stay within the limit, without their spans; those that had any are open."""
+
+    def run(batches):
+        for batch in batches:
+            keep, new, known = [], [], []
+            place, at = batch.schema.get_field_index("text"), batch.schema.get_field_index(state)
+            for i, (text, row) in enumerate(zip(raw_texts(batch), batch.column(at).to_pylist(), strict=True)):
+                spans = [(x["start"], x["end"]) for x in row["spans"] if x["end"] - x["start"] >= cfg.min_span]
+                whole = len(words_of(text)) if row["whole"] is None else row["whole"]
+                gone = row["gone"] + sum(b - a for a, b in spans)
+                if gone <= cfg.max_coverage * whole:
+                    keep.append(i)
+                    new.append(without(text, spans).decode() if spans else batch.column(place)[i].as_py())
+                    known.append({"spans": None, "whole": whole, "gone": gone, "open": bool(spans)})
+            if keep:
+                kept = batch.take(pa.array(keep))
+                for k, values in ((place, new), (at, known)):
+                    kept = kept.set_column(k, kept.schema.field(k), pa.array(values, kept.schema.field(k).type))
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def one_block(docs: DataFrame, block: list[tuple[str | None, bytes]], cfg: Leaks) -> DataFrame:
+    """All rounds of a row where it stands."""
+    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+    def run(batches):
+        found = automaton(shared, cfg.window)
+        for batch in batches:
+            at, keep, new = names.index("text"), [], []
+            for i, text in enumerate(raw_texts(batch)):
+                whole = len(words := words_of(text))
+                gone, changed = 0, False
+                while spans := [(a, b) for a, b in found.scan(words)[0] if b - a >= cfg.min_span]:
+                    gone += sum(b - a for a, b in spans)
+                    if gone > cfg.max_coverage * whole:
+                        break
+                    text, changed = without(text, spans), True
+                    words = words_of(text)
+                if gone <= cfg.max_coverage * whole:
+                    keep.append(i)
+                    new.append(text.decode() if changed else batch.column(at)[i].as_py())
+            if keep:
+                kept = batch.take(pa.array(keep))
+                yield kept.set_column(at, kept.schema.field(at), pa.array(new, kept.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -317,3 +317,27 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     n, ids = out.count(), out.select("doc_id").distinct().count()
     assert 100 < n == ids <= 200
+
+
+def test_decontamination_is_the_same_in_blocks(spark):
+    """The limit is over all blocks, and what a removal brings together is seen by all of them."""
+    rng = random.Random(6)
+    words = lambda n, c: [f"{c}{rng.randint(0, 9999)}" for _ in range(n)]
+    items = [(k, " ".join(words(24, "b"))) for k in range(12)]
+    rows = []
+    for i in range(66):  # two items each, of the same block or of two, 30% of the words each: over the limit together
+        a, b = (items[k][1].split() for k in ([(x, y) for x in range(12) for y in range(x)][i]))
+        rows.append((i, ", ".join(words(16, "w") + a + words(8, "w") + b + words(8, "w"))))
+        rows.append((100 + i, ", ".join(words(50, "w") + a[:9] + b + a[9:] + words(50, "w"))))  # a comes together when b is gone
+        rows.append((200 + i, " ".join(words(10, "w") + a[:4] + b + a[4:9] + words(90, "w"))))  # nine words of a come together
+    rows += [(300, None), (301, ""), (302, "no leak"), (302, "no leak")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda df: sorted(([r.doc_id, r.text, r.score] for r in df.collect()), key=repr)
+    table = docs(spark, rows)
+    want = plain(decontaminate.decontaminate(table, bench))
+    assert not {r[0] for r in want} & set(range(66)) and {r[0] for r in want} >= {*range(100, 166), *range(200, 266), 300, 301, 302}
+    cfg = decontaminate.Leaks(block_chars=500)
+    assert len(list(decontaminate.blocks(bench, cfg))) > 2
+    clean = decontaminate.decontaminate(table, bench, cfg)
+    assert clean.columns == table.columns and plain(clean) == want
+    assert all(not r.spans for r in decontaminate.find_leaks(clean, bench, cfg).collect())
