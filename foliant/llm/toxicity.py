@@ -4,7 +4,7 @@ A word's input vector is the sum of a word embedding (zero for words in fewer th
 sample times a learned vector, and the largest document log-odds of its byte 4- to 6-grams (with its ends) times another. Two gated recurrent layers read a window of words forward and backward; attention pools their states to
 one logit. All windows of ``width`` words, ``stride`` words apart, are scored; a document's score is that of its worst window.
 
-Training is in numpy on the driver, on at most ``sample`` labelled texts, half of them of either class at most: from each text the windows
+Training is in numpy on the driver, on at most ``sample`` labelled texts, half of them of either class at most: from each whole text the windows
 with the largest log-odds and one drawn by chance, then the windows that the first rounds judged worst among the clean. A training text's own count is left out of its log-odds.
 
 Defined results. Texts without words score 0. Without labels of both classes all score 0. Null doc_ids aren't held out. Repeated rows give a row each; an empty
@@ -25,12 +25,12 @@ from foliant.llm.common import doc_rows, is_held_out, labelled_sample, map_rows,
 from foliant.llm.decontaminate import words_of
 
 CACHE = 250_000
+AT_ONCE = 2048  # windows
 
 
 @dataclass(frozen=True)
 class Recurrent:
     sample: int = 3_000
-    train_words: int = 4_000  # of a text whose windows are looked at in training
     width: int = 32
     stride: int = 24
     inputs: int = 12
@@ -222,10 +222,9 @@ def train(texts: list[bytes], y: np.ndarray, cfg: Recurrent) -> Net | None:
     if not ups or not downs:
         return None
     rng = np.random.default_rng(cfg.seed)
-    docs = [words_of(t)[: cfg.train_words] for t in texts]
     counts = (Counter(), Counter())
-    for words, label in zip(docs, y, strict=True):
-        counts[label].update(set(words))
+    for t, label in zip(texts, y, strict=True):
+        counts[label].update(set(words_of(t)))
     words = sorted(counts[0].keys() | counts[1].keys())
     number = {w: i for i, w in enumerate(words)}
     up, down = (np.array([counts[k][w] for w in words], np.float32) for k in (1, 0))
@@ -236,9 +235,10 @@ def train(texts: list[bytes], y: np.ndarray, cfg: Recurrent) -> Net | None:
     code, ends = code[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
     tables = np.zeros((2, 1 << cfg.gram_bits), np.float32)
     grams_of = [code[a:b] for a, b in zip(ends, ends[1:])]
+    docs = [np.fromiter(map(number.__getitem__, words_of(t)), np.int32) for t in texts]
     for d, label in zip(docs, y, strict=True):
-        if d:
-            tables[label][np.unique(np.concatenate([grams_of[number[w]] for w in set(d)]))] += 1
+        if len(d):
+            tables[label][np.unique(np.concatenate([grams_of[i] for i in np.unique(d)]))] += 1
     net.grams = log_odds(tables[1], tables[0], ups, downs)
     gram_tables = (log_odds(tables[1], np.maximum(tables[0] - 1, 0), ups, downs), log_odds(np.maximum(tables[1] - 1, 0), tables[0], ups, downs))
     own_grams = [gram_odds(t, code, owner[order], len(words)) for t in gram_tables]
@@ -246,48 +246,55 @@ def train(texts: list[bytes], y: np.ndarray, cfg: Recurrent) -> Net | None:
     bucket = np.array([net.row.get(w, 0) for w in words])
     tri, starts = trigrams(words, cfg)
     vocab = (bucket, tri, starts, np.array([len(w) for w in words]))
-    sets = []
-    for d, label in zip(docs, y, strict=True):
-        if d:
-            ids = np.array([number[w] for w in d])
-            at = window_starts(len(ids), cfg)[:, None] + np.arange(cfg.width)
-            mask = at < len(ids)
-            found = ids[np.minimum(at, len(ids) - 1)]
-            odds = np.stack([without_own[label][found], own_grams[label][found]], -1) * mask[:, :, None]
-            sets.append((int(label), found, mask.astype(np.float32), odds))
-    if {s[0] for s in sets} != {0, 1}:
+    full = [i for i, d in enumerate(docs) if len(d)]
+    labels = y[full]
+    if set(labels.tolist()) != {0, 1}:
         return None
-
-    def pick(score) -> list[tuple[int, int]]:
+    flat, sizes = np.concatenate([docs[i] for i in full]), np.array([len(docs[i]) for i in full])
+    ends = np.cumsum(sizes)
+    begins = [window_starts(n, cfg) + end - n for n, end in zip(sizes, ends, strict=True)]  # of windows in flat, by text
+    odds_of = np.stack([np.stack([without_own[k], own_grams[k]], -1) for k in (0, 1)])
+
+    def read(own: np.ndarray, begin: np.ndarray):
+        """Words, mask and log-odds of windows; only those asked for are made."""
+        at, end = begin[:, None] + np.arange(cfg.width), ends[own][:, None]
+        mask = at < end
+        found = flat[np.minimum(at, end - 1)]
+        return found, mask.astype(np.float32), odds_of[labels[own][:, None], found] * mask[:, :, None]
+
+    def each(of: list[int], score) -> list[np.ndarray]:
+        """The score of each window of these texts, by text; so many windows at a time are held."""
+        many = np.array([len(begins[i]) for i in of])
+        own, begin = np.repeat(of, many), np.concatenate([begins[i] for i in of])
+        got = [score(*read(own[k : k + AT_ONCE], begin[k : k + AT_ONCE])) for k in range(0, len(begin), AT_ONCE)]
+        return np.split(np.concatenate(got), np.cumsum(many)[:-1])
+
+    def pick(scores: list[np.ndarray]) -> list[tuple[int, int]]:
         out = []
-        for i, s in enumerate(sets):
-            order = np.argsort(-score(i), kind="stable")
-            out += [(i, int(j)) for j in order[: 1 if s[0] else 2]] + ([(i, int(rng.integers(len(order))))] if not s[0] else [])
+        for i, score in enumerate(scores):
+            order = np.argsort(-score, kind="stable")
+            out += [(i, int(j)) for j in order[: 1 if labels[i] else 2]] + ([(i, int(rng.integers(len(order))))] if not labels[i] else [])
         return sorted(set(out))
 
     def stack(chosen: list[tuple[int, int]]):
-        return (np.stack([sets[i][k][j] for i, j in chosen]) for k in (1, 2, 3))
+        return read(np.array([i for i, _ in chosen]), np.array([begins[i][j] for i, j in chosen]))
 
-    chosen, adam = pick(lambda i: sets[i][3].sum(2).max(1)), Adam(net.p, cfg)
+    chosen, adam = pick(each(list(range(len(full))), lambda ids, mask, odds: odds.sum(2).max(1))), Adam(net.p, cfg)
     for epoch in range(cfg.epochs):
         if epoch == cfg.epochs // 2:  # the clean windows that look worst so far
             seen = net.vectors(*vocab[:3], np.zeros((len(words), 2), np.float32))
-            clean = [i for i, s in enumerate(sets) if not s[0]]
-            hard = []
-            for k in range(0, len(clean), 64):
-                ids, mask, odds = (np.concatenate([sets[i][f] for i in clean[k : k + 64]]) for f in (1, 2, 3))
-                logit = net.logits(net.project(seen[ids] + odds @ net.p["odds"]), mask)
-                ends = np.cumsum([len(sets[i][1]) for i in clean[k : k + 64]])
-                hard += [(i, int(j)) for i, part in zip(clean[k : k + 64], np.split(logit, ends[:-1]), strict=True) for j in np.argsort(-part)[:3]]
+            clean = np.flatnonzero(labels == 0).tolist()
+            worst = each(clean, lambda ids, mask, odds: net.logits(net.project(seen[ids] + odds @ net.p["odds"]), mask))
+            hard = [(i, int(j)) for i, part in zip(clean, worst, strict=True) for j in np.argsort(-part)[:3]]
             chosen = sorted({*chosen, *hard})
-        up_rows = [c for c in chosen if sets[c[0]][0]]
+        up_rows = [c for c in chosen if labels[c[0]]]
         every = chosen + up_rows * max(0, round(len(chosen) / max(1, len(up_rows))) - 2)
         order = rng.permutation(len(every))
         for k in range(0, len(order), cfg.batch):
             part = [every[i] for i in order[k : k + cfg.batch]]
             ids, mask, odds = stack(part)
             use = (rng.random(ids.shape) >= cfg.drop).astype(np.float32)
-            adam.step(net.gradients(vocab, ids, mask, odds, np.array([sets[i][0] for i, _ in part], np.float32), use))
+            adam.step(net.gradients(vocab, ids, mask, odds, labels[[i for i, _ in part]].astype(np.float32), use))
         adam.rate *= 0.7
     return net
 

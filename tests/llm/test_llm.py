@@ -319,6 +319,15 @@ def test_pipeline_runs(spark):
     assert 100 < n == ids <= 200
 
 
+def test_toxicity_learns_from_whole_texts():
+    rng = random.Random(2)
+    texts = [some_text(rng, 4_100) + (" vilest vermin" if i % 2 else " kindly people") for i in range(30)]
+    net = toxicity.train([t.encode() for t in texts], np.array([i % 2 for i in range(30)]), toxicity.Recurrent(epochs=30))
+    assert net.odds[b"vermin"] > 0.5 and net.odds[b"kindly"] < -0.5
+    bad, good = toxicity.Scorer(net).score([(some_text(rng, 4_500) + end).encode() for end in (" vilest vermin", " kindly people")])
+    assert bad > 0.5 > good
+
+
 def test_decontamination_is_the_same_in_blocks(spark):
     """The limit is over all blocks, and what a removal brings together is seen by all of them."""
     rng = random.Random(6)
