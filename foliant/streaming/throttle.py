@@ -1,4 +1,4 @@
-"""Stateful stream operators: throttles, sessions, deduplication of tokens, dead letters."""
+"""Stateful stream operators: two throttles and deduplication of tokens."""
 
 from __future__ import annotations
 
