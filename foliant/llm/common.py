@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where ``spark.checkpoint.dir`` is unset, as in tests.
 OWN_CHECKPOINT_DIR = "file:///tmp/foliant-checkpoints"
+#: Bytes of a row group of the tables that operators and stages write.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a path without a scheme is taken as Spark takes it."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = OWN_CHECKPOINT_DIR
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
@@ -55,10 +60,15 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        df.write.parquet(path)
+        write(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Parquet in small row groups: a writer holds its group in memory, and texts may be long."""
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -85,7 +95,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
 
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """Whole texts as UTF-8; null is empty."""
-    for x in batch.column(name).cast(pa.large_binary()):
+    return raw(batch.column(name))
+
+
+def raw(column: pa.Array) -> Iterator[bytes]:
+    for x in column.cast(pa.large_binary()):
         yield x.as_py() or b""
 
 

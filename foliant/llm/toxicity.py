@@ -1,30 +1,33 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word's input vector is the sum of a word embedding (zero for words in fewer than ``least_docs`` training texts), the mean of hashed byte-trigram embeddings, its document log-odds in the training
-sample times a learned vector, and the largest document log-odds of its byte 4- to 6-grams (with its ends) times another. Two gated recurrent layers read a window of words forward and backward; attention pools their states to
-one logit. All windows of ``width`` words, ``stride`` words apart, are scored; a document's score is that of its worst window.
+A word's input vector is its word embedding (zero for words in fewer than ``least_docs`` training texts) plus the sum of the embeddings of its hashed byte 3- to
+6-grams, its ends counting as bytes, over the root of their number. Two gated recurrent layers read a window of words forward and backward; attention pools their
+states to one logit. All windows of ``width`` words, ``stride`` words apart, are scored; a document's score is that of its worst window. Every stretch of
+``width - stride + 1`` words stands whole in some window.
 
-Training is in numpy on the driver, on at most ``sample`` labelled texts, half of them of either class at most: from each whole text the windows
-with the largest log-odds and one drawn by chance, then the windows that the first rounds judged worst among the clean. A training text's own count is left out of its log-odds.
+Training is in numpy on the driver, on at most ``sample`` labelled texts, half of them of either class at most, read one partition at a time as word numbers. All embeddings and
+weights are learned together. First every window has its text's label; then, in rounds, the network itself picks the windows that it finds worst, of toxic and of clean
+texts alike, and learns from these.
 
 Defined results. Texts without words score 0. Without labels of both classes all score 0. Null doc_ids aren't held out. Repeated rows give a row each; an empty
-table none. Other columns are ignored. Whole texts are read; memory is bounded by groups of windows.
+table none. Windows that tie are taken in their order. Other columns are ignored. Whole texts are read, very long ones too; memory is bounded by groups of windows and the words of a text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import doc_rows, is_held_out, labelled_sample, map_rows, raw_texts
+from foliant.llm.common import doc_rows, is_held_out, labelled_sample, map_rows, raw, raw_texts
 from foliant.llm.decontaminate import words_of
 
-CACHE = 250_000
+CACHE = 100_000  # words whose gate inputs a worker keeps
 AT_ONCE = 2048  # windows
 
 
@@ -32,58 +35,55 @@ AT_ONCE = 2048  # windows
 class Recurrent:
     sample: int = 3_000
     width: int = 32
-    stride: int = 24
+    stride: int = 16
     inputs: int = 12
     hidden: int = 8
     least_docs: int = 5
-    char_bits: int = 12
-    gram_bits: int = 18
-    epochs: int = 5
-    batch: int = 256
+    char_bits: int = 14
+    first_epochs: int = 1
+    rounds: int = 3
+    epochs: int = 3  # of a round
+    least_steps: int = 30  # of the first pass and of a round
+    hard: int = 3  # clean windows of a text in a round
+    batch: int = 512
     rate: float = 0.01
-    table_rate: float = 0.15  # of the rate, for the embeddings
-    decay: float = 1e-4
-    drop: float = 0.3  # share of words whose embeddings are left out in training
+    decay: float = 1e-5
+    drop: float = 0.5  # share of words whose word embedding is left out in training
     seed: int = 7
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def trigrams(words: list[bytes], cfg: Recurrent) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram buckets of all words in order, and where each word's start. A word has as many trigrams as bytes."""
-    b = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.uint32)
-    code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - cfg.char_bits)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return code[b[1:-1] != 0].astype(np.int64), np.cumsum(sizes) - sizes
-
-
-def gram_buckets(words: list[bytes], cfg: Recurrent) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte 4- to 6-grams of all words, ends of words counting as a byte, and the words' places."""
+def grams(words: list[bytes], cfg: Recurrent) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte 3- to 6-grams of all words, by word, and where each word's start. A word of one byte has one gram."""
     b = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-    inside, word = b != 0, np.cumsum(b == 0) - 1
+    inside = b != 0
+    word = np.cumsum(~inside) - 1
+    h, whole = b.astype(np.uint64), np.ones(len(b), bool)
     code, owner = [], []
-    h = b.astype(np.uint64)
-    whole = np.ones(len(b), bool)  # no end of a word strictly inside the gram
     with np.errstate(over="ignore"):
         for n in range(2, 7):
             if len(h) < 2:
                 break
             h = h[:-1] * np.uint64(0x100000001B3) + b[n - 1 :]
-            whole = whole[: len(h)] & (inside[1 : len(h) + 1] if n > 2 else True) & (inside[n - 2 : n - 2 + len(h)] if n > 2 else True)
-            if n >= 4:
+            # no end of a word strictly inside the gram
+            whole = whole[: len(h)] & (inside[n - 2 : n - 2 + len(h)] if n > 2 else True)
+            if n >= 3:
                 at = np.flatnonzero(whole)
-                code.append((h[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cfg.gram_bits)).astype(np.int64))
+                code.append((h[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cfg.char_bits)).astype(np.int32))
                 owner.append(word[at + 1])
-    return np.concatenate(code), np.concatenate(owner)
+    code, owner = np.concatenate(code), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return code[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
-def gram_odds(table: np.ndarray, code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The largest log-odds of each word's grams, 0 at least."""
-    out = np.zeros(n, np.float32)
-    np.maximum.at(out, owner, table[code])
-    return out
+def grams_of(words: list[bytes], cfg: Recurrent, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many words, some at a time."""
+    parts = [grams(words[k : k + at_once], cfg) for k in range(0, len(words), at_once)]
+    before = np.cumsum([0, *(len(char) for char, _ in parts)])
+    return np.concatenate([char for char, _ in parts]), np.concatenate([starts + n for (_, starts), n in zip(parts, before)])
 
 
 def window_starts(n: int, cfg: Recurrent) -> np.ndarray:
@@ -91,114 +91,124 @@ def window_starts(n: int, cfg: Recurrent) -> np.ndarray:
     return np.arange(0, max(n - cfg.width, 0) + cfg.stride, cfg.stride) if n > cfg.width else np.zeros(1, np.int64)
 
 
+def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values added up by place."""
+    return np.stack([np.bincount(at, v, n) for v in values.T], 1).astype(values.dtype)
+
+
 class Net:
-    """Parameters, scoring and training."""
+    """Parameters, scoring and gradients. The two directions are stacked: the second reads windows from their end."""
 
     def __init__(self, cfg: Recurrent, words: list[bytes]):
         """words: those that have an embedding of their own; row 0 is for all others and stays zero."""
         self.cfg, self.row = cfg, {w: i + 1 for i, w in enumerate(words)}
         rng, d, h = np.random.default_rng(cfg.seed), cfg.inputs, cfg.hidden
         some = lambda *shape, s=0.3: (rng.standard_normal(shape) * s).astype(np.float32)
-        self.p = {"word": np.zeros((len(words) + 1, d), np.float32), "char": some(1 << cfg.char_bits, d, s=0.05), "odds": some(2, d, s=0.5), "att": some(2 * h, s=0.5), "out": some(2 * h, s=0.5), "bias": np.zeros(1, np.float32)}
-        for way in "fb":
-            self.p |= {f"wx{way}": some(d, 3 * h), f"bx{way}": np.zeros(3 * h, np.float32), f"u{way}": some(h, 3 * h)}
-        self.odds: dict[bytes, float] = {}
-        self.grams = np.zeros(1 << cfg.gram_bits, np.float32)
+        self.p = {"word": np.zeros((len(words) + 1, d), np.float32), "char": some(1 << cfg.char_bits, d, s=0.02), "att": some(2 * h, s=0.5), "out": some(2 * h, s=0.5), "bias": np.zeros(1, np.float32)}
+        self.p |= {"wx": some(2, d, 3 * h), "bx": np.zeros((2, 3 * h), np.float32), "u": some(2, h, 3 * h)}
 
-    def vectors(self, bucket: np.ndarray, tri: np.ndarray, starts: np.ndarray, odds: np.ndarray) -> np.ndarray:
-        sizes = np.diff(np.append(starts, len(tri)))[:, None]
-        return self.p["word"][bucket] + np.add.reduceat(self.p["char"][tri], starts) / sizes + odds @ self.p["odds"]
+    def vectors(self, char: np.ndarray, starts: np.ndarray, row: np.ndarray | None = None, use: np.ndarray | float = 1.0) -> np.ndarray:
+        sizes = np.diff(np.append(starts, len(char)))[:, None]
+        return np.add.reduceat(self.p["char"][char], starts) / np.sqrt(sizes, dtype=np.float32) + (0 if row is None else self.p["word"][row] * use)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """Both directions' input parts of the gates."""
-        return np.concatenate([x @ self.p[f"wx{w}"] + self.p[f"bx{w}"] for w in "fb"], -1).astype(np.float32)
-
-    def layer(self, way: str, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """gates: windows x words x 3 hidden. The states, and on request what training needs."""
-        n, t, k = gates.shape
-        h = k // 3
-        u, state, states, saved = self.p[f"u{way}"], np.zeros((n, h), np.float32), np.empty((n, t, h), np.float32), []
-        for i in range(t) if way == "f" else range(t - 1, -1, -1):
-            zr = sigmoid(gates[:, i, : 2 * h] + state @ u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(gates[:, i, 2 * h :] + (r * state) @ u[:, 2 * h :])
-            m = mask[:, i, None]
+        """Words x inputs to words x directions x gates."""
+        return (np.matmul(x[None], self.p["wx"]) + self.p["bx"][:, None]).transpose(1, 0, 2)
+
+    def layer(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """gates: steps x directions x windows x 3 hidden; mask: steps x directions x windows x 1. The states, and on request what training needs."""
+        steps, _, n, k = gates.shape
+        h, u = k // 3, self.p["u"]
+        state, states, saved = np.zeros((2, n, h), gates.dtype), np.empty((steps, 2, n, h), gates.dtype), []
+        for i in range(steps):
+            zr = sigmoid(gates[i, :, :, : 2 * h] + state @ u[:, :, : 2 * h])
+            z, r = zr[..., :h], zr[..., h:]
+            new = np.tanh(gates[i, :, :, 2 * h :] + (r * state) @ u[:, :, 2 * h :])
             if keep:
-                saved.append((i, state, z, r, new, m))
-            state = state + m * (1 - z) * (new - state)
-            states[:, i] = state
+                saved.append((state, z, r, new))
+            state = state + mask[i] * (1 - z) * (new - state)
+            states[i] = state
         return states, saved
 
+    @staticmethod
+    def turned(x: np.ndarray) -> np.ndarray:
+        """steps x directions x ...: the second direction from the other end."""
+        return np.stack([x[:, 0], x[::-1, 1]], 1)
+
     def pool(self, states: np.ndarray, mask: np.ndarray):
-        s = states @ self.p["att"]
-        s = np.where(mask > 0, s, -1e9)
-        e = np.exp(s - s.max(1, keepdims=True)) * (mask > 0)
+        """states in reading order: steps x directions x windows x hidden; mask: steps x windows."""
+        h = self.cfg.hidden
+        both = states.transpose(2, 0, 1, 3).reshape(states.shape[2], states.shape[0], 2 * h)
+        m = mask.T
+        s = np.where(m > 0, both @ self.p["att"], -1e9)
+        e = np.exp(s - s.max(1, keepdims=True)) * (m > 0)
         a = e / np.maximum(e.sum(1, keepdims=True), 1e-9)
-        pooled = (a[:, :, None] * states).sum(1)
-        return a, pooled, pooled @ self.p["out"] + self.p["bias"][0]
+        pooled = (a[:, :, None] * both).sum(1)
+        return both, a, pooled, pooled @ self.p["out"] + self.p["bias"][0]
+
+    def steps(self, gates: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """windows x words x directions x gates, and mask, as the layers take them."""
+        g = np.ascontiguousarray(gates.transpose(1, 2, 0, 3))
+        m = np.ascontiguousarray(mask.T)
+        return self.turned(g), np.stack([m, m[::-1]], 1)[..., None]
 
     def logits(self, gates: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        k = gates.shape[2] // 2
-        states = np.concatenate([self.layer(w, gates[:, :, i * k : i * k + k], mask)[0] for i, w in enumerate("fb")], 2)
-        return self.pool(states, mask)[2]
+        states, _ = self.layer(*self.steps(gates, mask))
+        return self.pool(self.turned(states), mask.T)[3]
 
-    def gradients(self, vocab, ids: np.ndarray, mask: np.ndarray, odds: np.ndarray, y: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy. vocab: word rows, trigrams, their starts and sizes; ids: windows x words in it; use: 0 where a word's embeddings are left out."""
+    def gradients(self, vocab, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Of the weighted cross-entropy. vocab: word rows, n-grams, where each word's start, and end; ids: windows x words in it; use: by window and word, 0 where the word's embedding is left out."""
         p, d, h = self.p, self.cfg.inputs, self.cfg.hidden
-        bucket, tri, starts, sizes = vocab
+        row, char, starts, ends = vocab
         seen, at = np.unique(ids, return_inverse=True)
         at = at.reshape(ids.shape)
-        span = [np.arange(starts[i], starts[i] + sizes[i]) for i in seen]
-        own = np.concatenate(span)
-        own_starts = np.cumsum([0, *map(len, span)])[:-1]
-        base = self.vectors(bucket[seen], tri[own], own_starts, np.zeros((len(seen), 2), np.float32))
-        x = base[at] * use[:, :, None] + odds @ p["odds"]
-        k = 3 * h
-        gates = self.project(x)
-        f, kept_f = self.layer("f", gates[:, :, :k], mask, True)
-        b, kept_b = self.layer("b", gates[:, :, k:], mask, True)
-        states = np.concatenate([f, b], 2)
-        a, pooled, logit = self.pool(states, mask)
-        dl = ((sigmoid(logit) - y) / len(y)).astype(np.float32)
-        g = {"bias": np.array([dl.sum()], np.float32), "out": dl @ pooled}
+        sizes = ends[seen] - starts[seen]
+        first = np.cumsum(sizes) - sizes
+        own = char[np.repeat(starts[seen] - first, sizes) + np.arange(sizes.sum())]
+        words = p["word"][row[seen]]
+        x = self.vectors(own, first)[at] + words[at] * use[:, :, None]
+        n, steps = ids.shape
+        gates, m = self.steps(self.project(x.reshape(-1, d)).reshape(n, steps, 2, 3 * h), mask)
+        states, saved = self.layer(gates, m, True)
+        both, a, pooled, logit = self.pool(self.turned(states), mask.T)
+        prob = sigmoid(logit)
+        dl = ((prob - y) * weight).astype(x.dtype)
+        loss = float(-(weight * np.log(np.where(y > 0, prob, 1 - prob) + 1e-9)).sum())
+        g = {"bias": np.array([dl.sum()], x.dtype), "out": dl @ pooled}
         dpool = dl[:, None] * p["out"]
-        da = (states * dpool[:, None, :]).sum(2)
+        da = np.einsum("nth,nh->nt", both, dpool)
         ds = a * (da - (a * da).sum(1, keepdims=True))
-        g["att"] = np.einsum("nt,nth->h", ds, states)
-        dstates = a[:, :, None] * dpool[:, None, :] + ds[:, :, None] * p["att"]
-        dx = np.zeros_like(x)
-        for way, kept, part in (("f", kept_f, dstates[:, :, :h]), ("b", kept_b, dstates[:, :, h:])):
-            u, du = p[f"u{way}"], np.zeros_like(p[f"u{way}"])
-            dgates, carry = np.zeros((*ids.shape, k), np.float32), np.zeros((len(ids), h), np.float32)
-            for i, state, z, r, new, m in reversed(kept):
-                dh = carry + part[:, i]
-                dnew = dh * m * (1 - z) * (1 - new * new)
-                dz = -dh * m * (new - state) * z * (1 - z)
-                drs = dnew @ u[:, 2 * h :].T
-                dr = drs * state * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                dgates[:, i] = np.concatenate([dzr, dnew], 1)
-                du[:, 2 * h :] += (r * state).T @ dnew
-                du[:, : 2 * h] += state.T @ dzr
-                carry = dh * (1 - m * (1 - z)) + drs * r + dzr @ u[:, : 2 * h].T
-            flat = dgates.reshape(-1, k)
-            g |= {f"u{way}": du, f"bx{way}": flat.sum(0), f"wx{way}": x.reshape(-1, d).T @ flat}
-            dx += dgates @ p[f"wx{way}"].T
-        dx *= mask[:, :, None]
-        g["odds"] = odds.reshape(-1, 2).T @ dx.reshape(-1, d)
-        each = np.zeros((len(seen), d), np.float32)
-        np.add.at(each, at.ravel(), (dx * use[:, :, None]).reshape(-1, d))
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], bucket[seen], each)
+        g["att"] = np.einsum("nt,nth->h", ds, both)
+        dboth = a[:, :, None] * dpool[:, None, :] + ds[:, :, None] * p["att"]
+        part = self.turned(dboth.reshape(n, steps, 2, h).transpose(1, 2, 0, 3))
+        u, du = p["u"], np.zeros_like(p["u"])
+        dgates, carry = np.empty_like(gates), np.zeros((2, n, h), x.dtype)
+        ut, uz = u[:, :, 2 * h :].transpose(0, 2, 1), u[:, :, : 2 * h].transpose(0, 2, 1)
+        for i in range(steps - 1, -1, -1):
+            state, z, r, new = saved[i]
+            dh = carry + part[i]
+            step = dh * m[i]
+            dnew = step * (1 - z) * (1 - new * new)
+            dz = -step * (new - state) * z * (1 - z)
+            drs = dnew @ ut
+            dzr = np.concatenate([dz, drs * state * r * (1 - r)], 2)
+            dgates[i, :, :, : 2 * h], dgates[i, :, :, 2 * h :] = dzr, dnew
+            du[:, :, 2 * h :] += (r * state).transpose(0, 2, 1) @ dnew
+            du[:, :, : 2 * h] += state.transpose(0, 2, 1) @ dzr
+            carry = dh * (1 - m[i] * (1 - z)) + drs * r + dzr @ uz
+        flat = self.turned(dgates).transpose(1, 2, 0, 3).reshape(2, n * steps, 3 * h)  # directions, windows x words
+        g |= {"u": du, "bx": flat.sum(1), "wx": x.reshape(-1, d).T[None] @ flat}
+        dx = ((flat @ p["wx"].transpose(0, 2, 1)).sum(0).reshape(n, steps, d) * mask[:, :, None]).reshape(-1, d)
+        each = sums(at.ravel(), dx, len(seen))
+        g["word"] = sums(row[seen], sums(at.ravel(), dx * use.reshape(-1, 1), len(seen)), len(p["word"]))
         g["word"][0] = 0
-        np.add.at(g["char"], tri[own], np.repeat(each / sizes[seen, None], sizes[seen], 0))
-        return g
+        g["char"] = sums(own, np.repeat(each / np.sqrt(sizes, dtype=x.dtype)[:, None], sizes, 0), len(p["char"]))
+        return loss, g
 
 
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], cfg: Recurrent):
         self.p, self.rate, self.t, self.decay = p, cfg.rate, 0, cfg.decay
-        self.scale = {"word": cfg.table_rate, "char": cfg.table_rate}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
     def step(self, g: dict[str, np.ndarray]) -> None:
@@ -207,95 +217,87 @@ class Adam:
             x = x + self.decay * self.p[k]
             self.m[k] += 0.1 * (x - self.m[k])
             self.v[k] += 0.01 * (x * x - self.v[k])
-            self.p[k] -= self.rate * self.scale.get(k, 1) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-
-
-def log_odds(up: np.ndarray, down: np.ndarray, ups: int, downs: int) -> np.ndarray:
-    """Smoothed document log-odds, nearer to 0 for rare words."""
-    raw = np.log((up + 1) / (ups + 2)) - np.log((down + 1) / (downs + 2))
-    return (raw * (1 - np.exp(-(up + down) / 4)) / 3).astype(np.float32)
-
-
-def train(texts: list[bytes], y: np.ndarray, cfg: Recurrent) -> Net | None:
-    """texts in a fixed order."""
-    ups, downs = int(y.sum()), int((1 - y).sum())
-    if not ups or not downs:
+            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+
+
+@dataclass
+class Texts:
+    """Training texts as word numbers, with the words; a text is held as four bytes a word. Texts without words teach nothing."""
+
+    number: dict[bytes, int] = field(default_factory=dict)
+    docs: list[np.ndarray] = field(default_factory=list)
+    labels: list[int] = field(default_factory=list)
+    names: list[tuple[int, bytes]] = field(default_factory=list)
+
+    def add(self, text: bytes, label: int, doc_id: int | None = None) -> None:
+        words = words_of(text)
+        if words:
+            number = self.number
+            self.docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            self.labels.append(label)
+            self.names.append((len(self.docs) if doc_id is None else doc_id, hashlib.sha256(text).digest()))
+
+    def settled(self) -> Texts:
+        """In an order of their own, however they came: texts by doc_id and digest, words by bytes."""
+        words, order = sorted(self.number), sorted(range(len(self.docs)), key=self.names.__getitem__)
+        place = np.empty(len(words), np.int32)
+        place[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        return Texts({w: i for i, w in enumerate(words)}, [place[self.docs[i]] for i in order], [self.labels[i] for i in order], [self.names[i] for i in order])
+
+
+def train(texts: Texts, cfg: Recurrent) -> Net | None:
+    """None without texts of both classes."""
+    texts = texts.settled()
+    y = np.array(texts.labels, np.int64)
+    if set(y.tolist()) != {0, 1}:
         return None
-    rng = np.random.default_rng(cfg.seed)
-    counts = (Counter(), Counter())
-    for t, label in zip(texts, y, strict=True):
-        counts[label].update(set(words_of(t)))
-    words = sorted(counts[0].keys() | counts[1].keys())
-    number = {w: i for i, w in enumerate(words)}
-    up, down = (np.array([counts[k][w] for w in words], np.float32) for k in (1, 0))
-    net = Net(cfg, [w for w, n in zip(words, up + down, strict=True) if n >= cfg.least_docs])
-    net.odds = {w: float(o) for w, o in zip(words, log_odds(up, down, ups, downs), strict=True) if abs(o) > 0.05}
-    code, owner = gram_buckets(words, cfg)
-    order = np.argsort(owner, kind="stable")
-    code, ends = code[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    tables = np.zeros((2, 1 << cfg.gram_bits), np.float32)
-    grams_of = [code[a:b] for a, b in zip(ends, ends[1:])]
-    docs = [np.fromiter(map(number.__getitem__, words_of(t)), np.int32) for t in texts]
-    for d, label in zip(docs, y, strict=True):
-        if len(d):
-            tables[label][np.unique(np.concatenate([grams_of[i] for i in np.unique(d)]))] += 1
-    net.grams = log_odds(tables[1], tables[0], ups, downs)
-    gram_tables = (log_odds(tables[1], np.maximum(tables[0] - 1, 0), ups, downs), log_odds(np.maximum(tables[1] - 1, 0), tables[0], ups, downs))
-    own_grams = [gram_odds(t, code, owner[order], len(words)) for t in gram_tables]
-    without_own = (log_odds(up, np.maximum(down - 1, 0), ups, downs), log_odds(np.maximum(up - 1, 0), down, ups, downs))
-    bucket = np.array([net.row.get(w, 0) for w in words])
-    tri, starts = trigrams(words, cfg)
-    vocab = (bucket, tri, starts, np.array([len(w) for w in words]))
-    full = [i for i, d in enumerate(docs) if len(d)]
-    labels = y[full]
-    if set(labels.tolist()) != {0, 1}:
-        return None
-    flat, sizes = np.concatenate([docs[i] for i in full]), np.array([len(docs[i]) for i in full])
+    rng, docs, words = np.random.default_rng(cfg.seed), texts.docs, list(texts.number)
+    in_docs = np.zeros(len(words), np.int32)
+    for d in docs:
+        in_docs[np.unique(d)] += 1
+    net = Net(cfg, [w for w, n in zip(words, in_docs, strict=True) if n >= cfg.least_docs])
+    char, starts = grams_of(words, cfg)
+    vocab = (np.array([net.row.get(w, 0) for w in words]), char, starts, np.append(starts[1:], len(char)))
+    flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
     ends = np.cumsum(sizes)
-    begins = [window_starts(n, cfg) + end - n for n, end in zip(sizes, ends, strict=True)]  # of windows in flat, by text
-    odds_of = np.stack([np.stack([without_own[k], own_grams[k]], -1) for k in (0, 1)])
+    begins = [window_starts(n, cfg) + end - n for n, end in zip(sizes, ends, strict=True)]
+    owner, begin = np.repeat(np.arange(len(docs)), [len(b) for b in begins]), np.concatenate(begins)
+    bounds = np.searchsorted(owner, np.arange(len(docs) + 1))
 
-    def read(own: np.ndarray, begin: np.ndarray):
-        """Words, mask and log-odds of windows; only those asked for are made."""
-        at, end = begin[:, None] + np.arange(cfg.width), ends[own][:, None]
+    def read(of: np.ndarray):
+        """Words and mask of windows; only those asked for are made."""
+        at, end = begin[of][:, None] + np.arange(cfg.width), ends[owner[of]][:, None]
         mask = at < end
-        found = flat[np.minimum(at, end - 1)]
-        return found, mask.astype(np.float32), odds_of[labels[own][:, None], found] * mask[:, :, None]
-
-    def each(of: list[int], score) -> list[np.ndarray]:
-        """The score of each window of these texts, by text; so many windows at a time are held."""
-        many = np.array([len(begins[i]) for i in of])
-        own, begin = np.repeat(of, many), np.concatenate([begins[i] for i in of])
-        got = [score(*read(own[k : k + AT_ONCE], begin[k : k + AT_ONCE])) for k in range(0, len(begin), AT_ONCE)]
-        return np.split(np.concatenate(got), np.cumsum(many)[:-1])
-
-    def pick(scores: list[np.ndarray]) -> list[tuple[int, int]]:
-        out = []
-        for i, score in enumerate(scores):
-            order = np.argsort(-score, kind="stable")
-            out += [(i, int(j)) for j in order[: 1 if labels[i] else 2]] + ([(i, int(rng.integers(len(order))))] if not labels[i] else [])
-        return sorted(set(out))
-
-    def stack(chosen: list[tuple[int, int]]):
-        return read(np.array([i for i, _ in chosen]), np.array([begins[i][j] for i, j in chosen]))
-
-    chosen, adam = pick(each(list(range(len(full))), lambda ids, mask, odds: odds.sum(2).max(1))), Adam(net.p, cfg)
-    for epoch in range(cfg.epochs):
-        if epoch == cfg.epochs // 2:  # the clean windows that look worst so far
-            seen = net.vectors(*vocab[:3], np.zeros((len(words), 2), np.float32))
-            clean = np.flatnonzero(labels == 0).tolist()
-            worst = each(clean, lambda ids, mask, odds: net.logits(net.project(seen[ids] + odds @ net.p["odds"]), mask))
-            hard = [(i, int(j)) for i, part in zip(clean, worst, strict=True) for j in np.argsort(-part)[:3]]
-            chosen = sorted({*chosen, *hard})
-        up_rows = [c for c in chosen if labels[c[0]]]
-        every = chosen + up_rows * max(0, round(len(chosen) / max(1, len(up_rows))) - 2)
-        order = rng.permutation(len(every))
-        for k in range(0, len(order), cfg.batch):
-            part = [every[i] for i in order[k : k + cfg.batch]]
-            ids, mask, odds = stack(part)
-            use = (rng.random(ids.shape) >= cfg.drop).astype(np.float32)
-            adam.step(net.gradients(vocab, ids, mask, odds, labels[[i for i, _ in part]].astype(np.float32), use))
-        adam.rate *= 0.7
+        return flat[np.minimum(at, end - 1)], mask.astype(np.float32)
+
+    def learn(chosen: np.ndarray, epochs: int) -> None:
+        """Passes over windows in random order, both classes of the same weight; with few windows, smaller batches and more passes."""
+        share = y[owner[chosen]].mean()
+        many = -(-len(chosen) // min(cfg.batch, max(32, len(chosen) // 8)))
+        for part in (part for _ in range(max(epochs, -(-cfg.least_steps // many))) for part in np.array_split(rng.permutation(chosen), many)):
+            ids, mask = read(part)
+            label = y[owner[part]].astype(np.float32)
+            weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32) / len(part)
+            adam.step(net.gradients(vocab, ids, mask, label, weight, (rng.random(ids.shape) >= cfg.drop).astype(np.float32))[1])
+
+    def judged() -> np.ndarray:
+        gates = np.concatenate([net.project(net.vectors(char[vocab[2][k] : vocab[3][e - 1]], starts[k:e] - starts[k], vocab[0][k:e])) for k in range(0, len(words), 20_000) if (e := min(k + 20_000, len(words)))])
+        out = np.empty(len(begin), np.float32)
+        for k in range(0, len(begin), AT_ONCE):
+            ids, mask = read(np.arange(k, min(k + AT_ONCE, len(begin))))
+            out[k : k + AT_ONCE] = net.logits(gates[ids], mask)
+        return out
+
+    adam = Adam(net.p, cfg)
+    learn(np.arange(len(begin)), cfg.first_epochs)
+    for _ in range(cfg.rounds):
+        logit, chosen = judged(), []
+        for i in range(len(docs)):
+            of = np.arange(bounds[i], bounds[i + 1])
+            worst = of[np.argsort(-logit[of], kind="stable")]
+            chosen += [worst[:1]] if y[i] else [worst[: cfg.hard], rng.choice(of, 1)]
+        learn(np.unique(np.concatenate(chosen)), cfg.epochs)
+        adam.rate *= 0.5
     return net
 
 
@@ -304,7 +306,7 @@ class Scorer:
 
     def __init__(self, net: Net):
         self.net, self.rows = net, {}
-        self.gates = np.zeros((CACHE + 1, 6 * net.cfg.hidden), np.float32)
+        self.gates = np.zeros((1024, 2, 3 * net.cfg.hidden), np.float32)
 
     def numbers(self, docs: list[list[bytes]]) -> np.ndarray:
         fresh = list({w for d in docs for w in d if w not in self.rows})
@@ -312,11 +314,15 @@ class Scorer:
             self.rows.clear()
             fresh = list({w for d in docs for w in d})
         if fresh:
-            if len(fresh) + 1 > len(self.gates):
-                self.gates = np.zeros((len(fresh) + 1, self.gates.shape[1]), np.float32)
-            odds = np.stack([np.fromiter((self.net.odds.get(w, 0.0) for w in fresh), np.float32, len(fresh)), gram_odds(self.net.grams, *gram_buckets(fresh, self.net.cfg), len(fresh))], 1)
-            base = len(self.rows)
-            self.gates[base : base + len(fresh)] = self.net.project(self.net.vectors(np.fromiter((self.net.row.get(w, 0) for w in fresh), np.int64, len(fresh)), *trigrams(fresh, self.net.cfg), odds))
+            base, net = len(self.rows), self.net
+            if base + len(fresh) > len(self.gates):
+                more = np.zeros((max(base + len(fresh), 2 * len(self.gates)), *self.gates.shape[1:]), np.float32)
+                more[:base] = self.gates[:base]
+                self.gates = more
+            for k in range(0, len(fresh), 20_000):
+                part = fresh[k : k + 20_000]
+                row = np.fromiter((net.row.get(w, 0) for w in part), np.int64, len(part))
+                self.gates[base + k : base + k + len(part)] = net.project(net.vectors(*grams(part, net.cfg), row))
             self.rows.update(zip(fresh, range(base, base + len(fresh))))
         get = self.rows.__getitem__
         return np.fromiter((get(w) for d in docs for w in d), np.int64, sum(map(len, docs)))
@@ -333,28 +339,43 @@ class Scorer:
         begin = np.repeat(np.cumsum(sizes) - sizes, many) + np.concatenate(at)
         end = np.repeat(np.cumsum(sizes), many)
         logits = np.empty(len(begin), np.float32)
-        for k in range(0, len(begin), 2048):
-            place = begin[k : k + 2048, None] + np.arange(cfg.width)
-            mask = place < end[k : k + 2048, None]
-            logits[k : k + 2048] = self.net.logits(self.gates[flat[np.where(mask, place, 0)]], mask.astype(np.float32))
+        for k in range(0, len(begin), AT_ONCE):
+            place = begin[k : k + AT_ONCE, None] + np.arange(cfg.width)
+            mask = place < end[k : k + AT_ONCE, None]
+            logits[k : k + AT_ONCE] = self.net.logits(self.gates[flat[np.where(mask, place, 0)]], mask.astype(np.float32))
         out[full] = sigmoid(np.maximum.reduceat(logits, np.cumsum(many) - many).astype(float))
         return out
 
-    def score(self, texts) -> list[float]:
+    def score(self, texts: Iterable[bytes]) -> list[float]:
         out, hold, size = [], [], 0
         for text in texts:
             hold.append(words_of(text))
             size += len(hold[-1])
-            if size > 100_000:
+            if size > 50_000:
                 out += self.group(hold).tolist()
                 hold, size = [], 0
         return out + (self.group(hold).tolist() if hold else [])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cfg: Recurrent = Recurrent()) -> Net | None:
-    rows = labelled_sample(docs, labels, label, cfg.sample).collect()  # at most cfg.sample texts
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([(r.text or "").encode() for r in rows], np.array([r.y for r in rows], np.int64), cfg)
+    """Trains on at most cfg.sample whole texts; the driver holds an eighth of them and the others' word numbers."""
+    texts = Texts()
+    for r in labelled_sample(docs, labels, label, cfg.sample).repartition(8).toLocalIterator():
+        texts.add((r.text or "").encode(), int(r.y), r.doc_id)
+    return train(texts, cfg)
+
+
+def scores_of(spark: SparkSession, net: Net | None) -> Callable[[Column], Column]:
+    """Texts to scores, as a column: Arrow batches of the text alone go to Python, and one number a row comes back."""
+    shared = spark.sparkContext.broadcast(net)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for texts in batches:
+            yield pa.array(scorer.score(raw(texts)) if scorer else [0.0] * len(texts), pa.float64())
+
+    return lambda text: score(text.cast("string"))
 
 
 def score_toxicity(rows: DataFrame, net: Net | None) -> DataFrame:
@@ -379,19 +400,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: fl
 
 
 def drop_toxic(docs: DataFrame, net: Net | None, limit: float = 0.7) -> DataFrame:
-    """The documents, in their own columns, that score below the limit. Each batch is scored and filtered where it stands."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-
-    def run(batches):
-        scorer = Scorer(shared.value) if shared.value else None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if scorer is None:
-                yield batch
-                continue
-            keep = np.array(scorer.score(raw_texts(batch))) < limit
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents, in their own columns, that score below the limit."""
+    return docs.filter(scores_of(docs.sparkSession, net)(F.col("text")) < limit)

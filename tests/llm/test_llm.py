@@ -273,41 +273,117 @@ def test_toxicity_holds_out(spark, labelled):
     held = [got[i].predicted == t for i, _, t in labels if got[i].held_out]
     assert sum(held) >= 0.95 * len(held) and got[900].score == 0
     assert toxicity.fit(table, y.limit(0)) is None and toxicity.drop_toxic(table, None).count() == len(rows) + 1
+    net = toxicity.fit(table, y)
+    assert all((net.p[k] == v).all() for k, v in toxicity.fit(table.repartition(5), y).p.items())  # however the rows lie
+    again = docs(spark, [*rows, *rows[:3], (None, rows[0][1]), (901, " ".join([rows[1][1]] * 400))]).withColumn("__score", F.lit(1))
+    want = {**{i: r.score for i, r in got.items()}, None: got[0].score, 901: got[1].score}
+    left = toxicity.drop_toxic(again, net)
+    assert left.columns == again.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i in [*(r[0] for r in rows), *range(3), None, 901] if want[i] < 0.7)
+    assert toxicity.drop_toxic(again.limit(0), net).collect() == [] and toxicity.classify(table.limit(0), y).collect() == []
 
 
 def test_gradients_are_right():
     cfg = toxicity.Recurrent(inputs=3, hidden=2, width=5, char_bits=6)
     words = [b"ab", b"c", b"def", b"ghij"]
     net = toxicity.Net(cfg, words)
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     net.p["word"][1:] = rng.standard_normal((4, 3)) * 0.3
-    vocab = (np.arange(1, 5), *toxicity.trigrams(words, cfg), np.array([len(w) for w in words]))
-    ids, mask, odds, y = rng.integers(0, 4, (6, 5)), np.ones((6, 5)), rng.standard_normal((6, 5, 2)), np.array([1, 0, 1, 0, 1, 0.0])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    char, starts = toxicity.grams(words, cfg)
+    vocab = (np.arange(1, 5), char, starts, np.append(starts[1:], len(char)))
+    ids, mask, y = rng.integers(0, 4, (6, 5)), np.ones((6, 5)), np.array([1, 0, 1, 0, 1, 0.0])
     mask[0, 3:] = 0
-    odds *= mask[:, :, None]
-    use = (rng.random((6, 5)) > 0.3).astype(float)
-
-    def loss():
-        base = net.vectors(vocab[0][np.arange(4)], vocab[1], vocab[2], np.zeros((4, 2)))
-        x = base[ids] * use[:, :, None] + odds @ net.p["odds"]
-        gates = np.concatenate([x @ net.p[f"wx{w}"] + net.p[f"bx{w}"] for w in "fb"], -1)
-        z = net.logits(gates, mask)
-        return np.mean(np.log1p(np.exp(z)) - y * z)
-
-    g = net.gradients(vocab, ids, mask, odds, y, use)
+    use, weight = (rng.random((6, 5)) > 0.3).astype(float), rng.random(6)
+    loss = lambda: net.gradients(vocab, ids, mask, y, weight, use)[0]
+    g = net.gradients(vocab, ids, mask, y, weight, use)[1]
     for k in net.p:
         flat = net.p[k].reshape(-1)
-        for i in rng.choice(flat.size, min(4, flat.size), replace=False):
-            if k == "word" and i < 3:
-                continue
+        for i in np.argsort(-abs(g[k].reshape(-1)))[:6]:
             was = flat[i]
-            flat[i] = was + 1e-3
+            flat[i] = was + 1e-4
             up = loss()
-            flat[i] = was - 1e-3
+            flat[i] = was - 1e-4
             down = loss()
             flat[i] = was
-            assert abs((up - down) / 2e-3 - g[k].reshape(-1)[i]) < 2e-3, k
+            assert abs((up - down) / 2e-4 - g[k].reshape(-1)[i]) < 1e-5, k
+
+
+def naive_score(net, text):
+    """One window, one word and one gate at a time."""
+    cfg, p, words = net.cfg, net.p, decontaminate.words_of(text)
+    if not words:
+        return 0.0
+
+    def vector(w):
+        b = b"\0" + w + b"\0"
+        rows = []
+        for n in range(3, 7):
+            for i in range(len(b) - n + 1):
+                h = b[i]
+                for c in b[i + 1 : i + n]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                rows.append(p["char"][h * 0x9E3779B97F4A7C15 % 2**64 >> 64 - cfg.char_bits].astype(float))
+        return p["word"][net.row.get(w, 0)] + sum(rows) / len(rows) ** 0.5
+
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    worst, h = -np.inf, cfg.hidden
+    for at in range(0, max(len(words) - cfg.width, 0) + cfg.stride, cfg.stride) if len(words) > cfg.width else [0]:
+        x = [vector(w) for w in words[at : at + cfg.width]]
+        both = []
+        for way, order in ((0, x), (1, x[::-1])):
+            s, out = np.zeros(h), []
+            for v in order:
+                g = v @ p["wx"][way] + p["bx"][way]
+                z, r = sig(g[:h] + s @ p["u"][way][:, :h]), sig(g[h : 2 * h] + s @ p["u"][way][:, h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(g[2 * h :] + (r * s) @ p["u"][way][:, 2 * h :])
+                out.append(s)
+            both.append(out if way == 0 else out[::-1])
+        states = np.array([np.concatenate(pair) for pair in zip(*both, strict=True)])
+        a = np.exp(states @ p["att"])
+        worst = max(worst, (a / a.sum()) @ states @ p["out"] + p["bias"][0])
+    return float(sig(worst))
+
+
+@pytest.fixture(scope="module")
+def insults():
+    """Toxic texts have words of one stem with endings that are never seen again, so no word tells them, and the training texts aren't enough to list them."""
+    rng = random.Random(12)
+    ending = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+
+    def text(bad):
+        words = [some_text(rng, 1).strip(",") + rng.choice(["", ending()]) for _ in range(rng.randint(30, 150))]
+        for _ in range(3 * bad):
+            words[rng.randrange(len(words))] = "vermi" + ending()
+        return " ".join(words).encode()
+
+    make = lambda n: ([text(i % 2) for i in range(n)], [i % 2 for i in range(n)])
+    train, held = make(600), make(120)
+    texts = toxicity.Texts()
+    for t, y in zip(*train, strict=True):
+        texts.add(t, y)
+    return toxicity.train(texts, toxicity.Recurrent()), train, held
+
+
+def test_the_network_decides(insults):
+    net, train, (texts, y) = insults
+    y = np.array(y)
+    found = np.array(toxicity.Scorer(net).score(texts)) >= 0.7
+    assert (found == y).mean() >= 0.95
+    up, down = (set().union(*(decontaminate.words_of(t) for t, v in zip(*train, strict=True) if v == k)) for k in (1, 0))
+    only = up - down
+    share = [sum(w in only for w in decontaminate.words_of(t)) for t in texts]
+    assert max(((np.array(share) >= n) == y).mean() for n in range(1, 10)) < 0.9  # a list of words does worse
+    was = net.p
+    net.p = was | {k: np.zeros_like(was[k]) for k in ("word", "char")}
+    assert ((np.array(toxicity.Scorer(net).score(texts)) >= 0.7) == y).mean() < 0.6  # nothing but the embeddings knows the words; half are toxic
+    net.p = was
+
+
+def test_toxicity_scores_as_one_by_one(insults):
+    net, _, (texts, _) = insults
+    some = [*texts[:12], b"", b"  ", b"one", b" ".join(texts[:30])]
+    assert np.allclose(toxicity.Scorer(net).score(some), [naive_score(net, t) for t in some], atol=2e-4)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
@@ -321,9 +397,10 @@ def test_pipeline_runs(spark):
 
 def test_toxicity_learns_from_whole_texts():
     rng = random.Random(2)
-    texts = [some_text(rng, 4_100) + (" vilest vermin" if i % 2 else " kindly people") for i in range(30)]
-    net = toxicity.train([t.encode() for t in texts], np.array([i % 2 for i in range(30)]), toxicity.Recurrent(epochs=30))
-    assert net.odds[b"vermin"] > 0.5 and net.odds[b"kindly"] < -0.5
+    texts = toxicity.Texts()
+    for i in range(60):
+        texts.add((some_text(rng, 4_100) + (" vilest vermin" if i % 2 else " kindly people")).encode(), i % 2)
+    net = toxicity.train(texts, toxicity.Recurrent(rounds=6))
     bad, good = toxicity.Scorer(net).score([(some_text(rng, 4_500) + end).encode() for end in (" vilest vermin", " kindly people")])
     assert bad > 0.5 > good
 
