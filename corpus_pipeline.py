@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from foliant.llm.common import shared_dir, table
+from foliant.llm.common import shared_dir, table, write
 from foliant.llm.entries import TOKENIZERS
 
 
@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/foliant-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}")
+        write(out, f"{root}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
     return docs
