@@ -5,14 +5,21 @@ token t of the rules so far that have t on their left, and F[t] the reach beyond
 
     rule (t, c) -> u:   F[u] = max(M[c], F[c]);   M[t] = max(M[t], len(c) + max(M[c], F[c]))
 
-The sufficient lookahead is the largest len(t) + max(M[t], F[t]). So the transducer merges inside a window of symbols and gives out every
-token that ends at least that far before the window's end, unless the word is over. Memory doesn't grow with the text.
+The sufficient lookahead is the largest len(t) + max(M[t], F[t]). The transducer (``Window``) takes symbols and gives out every
+token that ends at least that far before the last symbol, and all of them when the word is over; it never holds more than twice the lookahead. ``Transducer``
+feeds it from text that comes in portions of any size: it holds what normalisation, the split pattern and the strings of added tokens may still
+need, and the symbols of an unfinished word.
+
+Texts are read in portions of ``PORTION`` bytes that end at white space, as no token crosses that. Most words are short and come again and again: what the transducer gives for a word is kept in
+a bounded memo, and the new words of a portion go through it side by side (``Merges.side_by_side``: one window each, one merge in each at a time). Stretches without white space that are longer than a
+portion are streamed. So memory doesn't grow with the length of a text, but for the ids where the caller asks for them.
 
 The ids are those of the tokenizer's own library: NFC, white space, lower case (character by character), the split
 pattern, byte-level symbols, word-end suffix; the strings of added tokens are found first. Decoding joins tokens with a space, as these
 vocabularies have no decoder; ``mode="bytes"`` gives the bytes' text instead, character by character as it is complete.
 
-Defined results. Null texts are empty: no ids, empty decoded text. Repeated rows give a row each; an empty table none. Other columns are ignored.
+Defined results. Null texts are empty: no ids, empty decoded text. Very long texts, and very long words, are streamed whole. Repeated rows give a row each; an empty table none. Equal ranks can't be: of two
+places of one rule the left one is merged first. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,14 @@ from foliant.llm.common import doc_rows, map_rows, raw_texts
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Texts of these need no composition.
 PLAIN = re.compile("[\x00-˿]*\\Z")
-CACHE = 300_000
+CACHE = 150_000
 #: Longer chunks aren't kept in the cache.
 LONGEST = 64
-#: Words up to so many bytes are merged in batches.
+#: Words up to so many bytes go through their windows side by side; at most the lookahead.
 SHORT = 24
+#: Bytes of a text that are read at once.
+PORTION = 1 << 18
+WHITE = b" \t\n\r\x0b\x0c"
 NO_RULE = 1 << 60
 SLOTS = 1 << 18
 
@@ -138,8 +148,8 @@ class Merges:
                 heapq.heappush(heap, (r, p, symbols[p], new))
         return [s for s in symbols if s >= 0]
 
-    def merge_batch(self, pieces: list[bytes]) -> list[list[int]]:
-        """What merge() gives for each of many short words: every round does one merge in every word that has one left."""
+    def side_by_side(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of many short words, each in a window of its own that its end empties: every round does one merge in every window that has one left."""
         n, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         wide = int(sizes.max())
         row, col = np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -207,40 +217,14 @@ class Merges:
 
     def transduce(self, symbols: Iterable[int]) -> Iterator[int]:
         """Tokens of one word, each given out once no further symbol can change it."""
-        hold, source, most = [], iter(symbols), 2 * self.lookahead
-        over = False
-        while not over:
-            for s in source:
-                hold.append(s)
-                if len(hold) >= most:
-                    break
-            else:
-                over = True
-            used = 0
-            for token in self.merge(list(hold)):
-                if not over and used + self.size[token] + self.lookahead > len(hold):
-                    break
-                used += self.size[token]
-                yield token
-            hold = hold[used:]
+        window = Window(self)
+        yield from window.push(symbols)
+        yield from window.end()
 
     def word(self, piece: bytes) -> Iterator[int]:
         symbols = [self.inner[b] for b in piece]
         symbols[-1] = self.final[piece[-1]]
-        return self.merge(symbols) if len(symbols) <= self.lookahead else self.transduce(symbols)
-
-    def chunk(self, chunk: str) -> Iterator[int]:
-        """A text without ASCII white space: nothing crosses that."""
-        pos = 0
-        for m in self.special.finditer(chunk) if self.special and "<|" in chunk else ():
-            yield from self._plain(chunk[pos : m.start()])
-            yield self.added[m[0]]
-            pos = m.end()
-        yield from self._plain(chunk[pos:] if pos else chunk)
-
-    def _plain(self, text: str) -> Iterator[int]:
-        for piece in self.pieces_of(text):
-            yield from self.pieces[piece]
+        return self.transduce(symbols)
 
     def pieces_of(self, text: str) -> list[str]:
         return self.split.findall(self.normal(text))
@@ -249,16 +233,126 @@ class Merges:
         return text.lower() if PLAIN.match(text) else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
 
 
+class Window:
+    """The symbols of one word that later ones may still change, at most twice the lookahead."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.hold, self.most = merges, [], 2 * merges.lookahead
+
+    def push(self, symbols: Iterable[int]) -> Iterator[int]:
+        for s in symbols:
+            self.hold.append(s)
+            if len(self.hold) >= self.most:
+                used = 0
+                for token in self.merges.merge(list(self.hold)):
+                    if used + self.merges.size[token] + self.merges.lookahead > len(self.hold):
+                        break
+                    used += self.merges.size[token]
+                    yield token
+                del self.hold[:used]
+
+    def end(self) -> Iterator[int]:
+        """The word is over."""
+        out, self.hold = self.merges.merge(self.hold), []
+        yield from out
+
+
+#: An open word goes on with letters, or with what is neither space, letter nor digit.
+LETTERS, OTHERS = regex.compile(r"\p{L}+"), regex.compile(rf"[^{SPACES}\p{{L}}\p{{N}}]+")
+
+
+class Transducer:
+    """Text in portions of any size to ids, each as soon as it is settled. Held between portions: raw text that an added token's string or the next
+    character's composition may still need, the start of a word of up to ``LONGEST`` characters, and a window of symbols."""
+
+    def __init__(self, merges: Merges):
+        self.m, self.raw, self.text, self.window = merges, "", "", Window(merges)
+        self.open: regex.Pattern | None = None  # what a long word that has begun goes on with
+        self.last: int | None = None  # its last byte so far, which may be its end
+        self.keep = max(map(len, merges.added), default=1) - 1
+
+    def held(self) -> int:
+        return len(self.raw) + len(self.text) + len(self.window.hold)
+
+    def feed(self, text: str, over: bool = False) -> Iterator[int]:
+        self.raw += text
+        while self.m.special and (found := self.m.special.search(self.raw)):
+            before, self.raw = self.raw[: found.start()], self.raw[found.end() :]
+            yield from self._pieces(before, True)
+            yield self.m.added[found[0]]
+        end = len(self.raw) if over else max(0, len(self.raw) - self.keep)
+        while not over and end and not starts_anew(self.raw[end : end + 1]):
+            end -= 1
+        ready, self.raw = self.raw[:end], self.raw[end:]
+        yield from self._pieces(ready, over)
+
+    def finish(self) -> Iterator[int]:
+        return self.feed("", True)
+
+    def _pieces(self, ready: str, over: bool) -> Iterator[int]:
+        self.text += self.m.normal(ready)
+        at = 0
+        while at < len(self.text):
+            if self.open:
+                run = self.open.match(self.text, at)
+                if run:
+                    yield from self._more(run[0])
+                    at = run.end()
+                if at == len(self.text):
+                    break
+                yield from self._end()
+            found = self.m.split.search(self.text, at)
+            if not found:
+                at = len(self.text)
+            elif found.end() < len(self.text) or over:
+                yield from self._more(found[0])
+                yield from self._end()
+                at = found.end()
+            elif len(found[0]) > LONGEST:
+                self.open = LETTERS if LETTERS.match(found[0][-1]) else OTHERS
+                yield from self._more(found[0])
+                at = found.end()
+            else:
+                at = found.start()
+                break
+        self.text = self.text[at:]
+        if over and self.last is not None:
+            yield from self._end()
+
+    def _more(self, piece: str) -> Iterator[int]:
+        data = piece.encode()
+        before = [] if self.last is None else [self.m.inner[self.last]]
+        self.last = data[-1]
+        return self.window.push(before + [self.m.inner[b] for b in data[:-1]])
+
+    def _end(self) -> Iterator[int]:
+        yield from self.window.push([self.m.final[self.last]])
+        self.open = self.last = None
+        yield from self.window.end()
+
+
+JOINING: set[str] = set()
+
+
+def starts_anew(c: str) -> bool:
+    """Whether no composition takes the character to what stands before it."""
+    if c < "\u0300":
+        return c != ""
+    if not JOINING:
+        pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+        JOINING.update(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<"))
+        JOINING.update(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    return not unicodedata.combining(c) and c not in JOINING
+
+
 class Pieces(dict):
-    """Words to their ids. Bounded like the encoder's own cache."""
+    """Words of up to LONGEST bytes to their ids, as the transducer gave them."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
 
     def __missing__(self, piece: str) -> Iterable[int]:
-        if len(piece) > LONGEST:
-            return self.merges.word(piece.encode())
         if len(self) >= CACHE:
             self.clear()
         self[piece] = ids = tuple(self.merges.word(piece.encode()))
@@ -277,26 +371,46 @@ class Encoder(dict):
         if chunk in self.old:
             return self.old[chunk]
         text, m = chunk.decode(), self.merges
-        ids = np.fromiter(m.chunk(text), "<u4").tobytes() if "<|" in text else np.array([i for p in m.pieces_of(text) for i in m.pieces[p]], "<u4").tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
+        if len(chunk) > LONGEST or "<|" in text:
+            run = Transducer(m)
+            return np.fromiter(chain(run.feed(text), run.finish()), "<u4").tobytes()
+        ids = np.array([i for p in m.pieces_of(text) for i in m.pieces[p]], "<u4").tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[chunk] = ids
         return ids
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """The same for many texts; the new words of about a megabyte of text are merged at once."""
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[Iterable[bytes]]:
+        """For each text its ids in parts, to be taken before the next text's. The new words of about a megabyte of short texts go through the transducer together."""
         hold, size = [], 0
         for text in texts:
-            hold.append(text)
-            size += len(text)
-            if size > 1_000_000:
-                yield from self._together(hold)
+            if len(text) > PORTION or size > 1_000_000:
+                yield from ((ids,) for ids in self._together(hold))
                 hold, size = [], 0
-        yield from self._together(hold)
+            if len(text) > PORTION:
+                yield self.streamed(text)
+            else:
+                hold.append(text)
+                size += len(text)
+        yield from ((ids,) for ids in self._together(hold))
+
+    def streamed(self, text: bytes) -> Iterator[bytes]:
+        """A long text's ids, portion by portion."""
+        at = 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= PORTION else max(text.rfind(c, at, at + PORTION) for c in (WHITE[i : i + 1] for i in range(len(WHITE)))) + 1
+            if end > at:
+                yield from self._together([text[at:end]])
+                at = end
+                continue
+            # no white space in a portion: up to the next through the transducer
+            ends = [p for c in (WHITE[i : i + 1] for i in range(len(WHITE))) if (p := text.find(c, at)) >= 0]
+            end = min(ends, default=len(text))
+            run, utf8 = Transducer(self.merges), codecs.getincrementaldecoder("utf-8")()
+            for k in range(at, end, 1 << 14):
+                yield np.fromiter(run.feed(utf8.decode(text[k : min(k + (1 << 14), end)])), "<u4").tobytes()
+            yield np.fromiter(run.finish(), "<u4").tobytes()
+            at = end
 
     def _together(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
@@ -315,7 +429,7 @@ class Encoder(dict):
             pieces.clear()
             short = [(w, b) for w in set(found) if len(b := w.encode()) <= SHORT and w != "\n"]
         if short:
-            pieces.update(zip([w for w, _ in short], merges.merge_batch([b for _, b in short])))
+            pieces.update(zip([w for w, _ in short], merges.side_by_side([b for _, b in short])))
         flat: list[int] = []
         ends = [0]
         for w in found:
@@ -377,15 +491,20 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, raw, a, b = [], [], [], []
-            for found in encoder.encode_all(raw_texts(batch)):
-                n.append(len(found) // 4)
-                if ids:
-                    raw.append(found)
-                a.append(hashlib.sha256(found).hexdigest())
+            for parts in encoder.encode_all(raw_texts(batch)):
+                size, kept, own = 0, [], hashlib.sha256()
                 decoder, out = Decoder(encoder.merges), hashlib.sha256()
-                for at in range(0, len(found), 1 << 18):
-                    out.update(decoder.feed(np.frombuffer(found[at : at + (1 << 18)], "<u4").tolist()).encode())
+                for part in parts:
+                    size += len(part) // 4
+                    own.update(part)
+                    for at in range(0, len(part), 1 << 18):
+                        out.update(decoder.feed(np.frombuffer(part[at : at + (1 << 18)], "<u4").tolist()).encode())
+                    if ids:
+                        kept.append(part)
                 out.update(decoder.finish().encode())
+                n.append(size)
+                raw.append(b"".join(kept))
+                a.append(own.hexdigest())
                 b.append(out.hexdigest())
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | ({"ids": pa.array(raw, pa.binary())} if ids else {})
             return pa.record_batch(columns | {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from foliant.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup,
 from foliant.llm.common import Scratch, cut, table
 
 #: Where the public tokenizers' files are; never copied.
-TOKENIZERS = os.environ.get("FOLIANT_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("FOLIANT_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 CONTROL = "\\### Assistant: </turn> ok"
 

@@ -149,14 +149,74 @@ def test_bpe_equals_the_library(spark, corpus):
 def test_transducer_gives_what_merging_gives():
     m = bpe.Merges(f"{TOKENIZERS}/word_bpe_49k.json")
     rng = random.Random(2)
+    assert bpe.SHORT <= bpe.LONGEST <= m.lookahead
     for _ in range(10):
         word = "".join(rng.choice("thesandlyiou") for _ in range(4 * m.lookahead)).encode()
         s = [m.inner[b] for b in word]
-        assert list(m.transduce(s)) == m.merge(list(s))
+        window, out, most = bpe.Window(m), [], 0
+        for i, x in enumerate(s):
+            out += window.push((x,))
+            most = max(most, len(window.hold))
+            assert sum(m.size[t] for t in out) + len(window.hold) == i + 1
+        assert most < 2 * m.lookahead <= len(s) and [*out, *window.end()] == m.merge(list(s)) and len(out) > 0
     words = ["".join(rng.choice("theinrsé") for _ in range(rng.randint(1, 10))).encode() for _ in range(500)]
-    assert m.merge_batch(words) == [list(m.word(w)) for w in words]
+    assert m.side_by_side(words) == [list(m.word(w)) for w in words]
     d = bpe.Decoder(m, "bytes")
-    assert "".join(d.feed([i]) for i in m.chunk("été")) + d.finish() == "été "
+    assert "".join(d.feed([i]) for i in m.word("été".encode())) + d.finish() == "été "
+
+
+def test_streamed_text_equals_the_library(monkeypatch):
+    """Whatever the portions, and however little of the text is held."""
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    tk, m, rng = Tokenizer.from_file(path), bpe.Merges(path), random.Random(8)
+    bits = ["the", "Straße", "ΣΑΣ", "e\u0301\u0323", "한글", "\u1112\u1161\u11ab", "don't", "'s", "'", "''re", "!!", "!'ll", "7", "½", "日本語", "\u00a0", "\u3000", "🙂", "<|endoftext|>", "<|", "|>", "<|endoftex", "x" * 90, "?!" * 50, "İ", "ǅ"]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        run, got, at = bpe.Transducer(m), [], 0
+        while at < len(text):
+            n = rng.randint(1, 40)
+            got += run.feed(text[at : at + n])
+            at += n
+            assert run.held() <= 2 * m.lookahead + bpe.LONGEST + 60 + len(text[at - n : at])
+        got += run.finish()
+        assert got == tk.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(bpe, "PORTION", 100)
+    encoder = bpe.Encoder(m)
+    texts = ["".join(rng.choice([*bits, " ", "\n", "\t"]) for _ in range(rng.randint(0, 200))) for _ in range(60)] + ["한" * 5_000, "z" * 3_000 + " a", ""]
+    for text, parts in zip(texts, encoder.encode_all(t.encode() for t in texts), strict=True):
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
+
+
+def test_decoder_gives_whole_characters():
+    """Bytes to text: fed id by id or at once, the same; never a part of a character."""
+    m, rng = bpe.Merges(f"{TOKENIZERS}/word_bpe_49k.json"), random.Random(3)
+    for _ in range(40):
+        ids = [rng.randrange(len(m.names)) for _ in range(30)]
+        whole = bpe.Decoder(m, "bytes")
+        want = whole.feed(ids) + whole.finish()
+        one = bpe.Decoder(m, "bytes")
+        assert "".join([one.feed([i]) for i in ids]) + one.finish() == want
+    text = "日本語 🙂 straße"
+    d = bpe.Decoder(m, "bytes")
+    run = bpe.Transducer(m)
+    parts = [d.feed([i]) for i in [*run.feed(text), *run.finish()]]
+    assert "".join(parts) + d.finish() == "日本語 🙂 straße " and "\ufffd" not in "".join(parts)
+
+
+def test_a_long_text_is_encoded_in_little_memory():
+    import tracemalloc
+
+    encoder, rng = bpe.Encoder(bpe.Merges(f"{TOKENIZERS}/word_bpe_49k.json")), random.Random(4)
+    words = ["".join(rng.choice("theinrsoal") for _ in range(rng.randint(2, 9))) for _ in range(2_000)]
+    for text in (" ".join(rng.choice(words) for _ in range(1_500_000)).encode(), b"thersin" * 150_000):
+        list(encoder.encode_all([text[:100_000]]))
+        tracemalloc.start()
+        for parts in encoder.encode_all([text]):
+            n = sum(len(p) for p in parts)
+        assert n > 100_000 and tracemalloc.get_traced_memory()[1] < 30_000_000  # 8 MB of text
+        tracemalloc.stop()
 
 
 def test_decontamination(spark):
