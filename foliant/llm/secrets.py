@@ -3,14 +3,18 @@
 Base kinds are found by pattern: ``assign``, ``access``, ``hex``. Then base64 and hexadecimal candidates are decoded and looked into before they
 are reported:
 
-* ``pem``: an armoured block whose body decodes to DER with nested lengths that fit, or to a private OpenSSH container;
+* ``pem``: an armoured block, with or without header lines, whose body decodes to DER with nested lengths that fit, or to a private OpenSSH container;
 * ``der``: a run of base64 or hexadecimal that decodes to a DER sequence whose nested lengths fill it;
 * ``ssh``: a run that decodes to length-prefixed strings of which the first names a key type;
 * ``jwt``: three dotted base64url parts of which the first is a JSON object with ``alg``, and the second a JSON object;
-* ``enc``: a run that decodes to printable ASCII in which a base kind is found.
+* ``enc``: a run that decodes to printable ASCII in which a base kind is found, at once or after decoding what is found inside, up to ``DEPTH`` layers.
+
+Candidates are the longest runs of the standard or the URL-safe alphabet of ``LEAST_RUN`` characters or more: what decodes to fewer than 12 bytes can hold no
+base kind (the shortest, ``token=`` and six characters, has 12) and no DER key. Base64 that is wrapped over lines without armour is joined where every line but the last has the same length of 64 or 76 characters.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no spans; repeated rows give a row each; an empty
-table none. Other columns are ignored. Whole texts are read whatever their length; patterns have no nested repetition.
+table none. Spans that begin together are ordered by kind, then end. Other columns, whatever their names, are ignored. Whole texts are read whatever their length, in time that grows with it: every pattern begins
+where its run begins and takes a run once.
 """
 
 from __future__ import annotations
@@ -31,11 +35,20 @@ KINDS = (*BASE, "pem", "der", "ssh", "jwt", "enc")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters at least: a longest run fails or passes as a whole
 HEX = re.compile(r"[0-9a-f]{24,}")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}")
-HEX_RUN = re.compile(r"[0-9A-Fa-f]{48,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([^-]+)-----END \1-----")
-PRINTABLE = re.compile(rb"[\t\n\r -~]{8,}\Z")
+#: Characters of a candidate, at least.
+LEAST_RUN = 16
+#: Layers of encoding that are looked into.
+DEPTH = 3
+#: Longest runs of either alphabet; those with characters of both are neither's.
+BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}")
+STANDARD_RUN = re.compile(rf"[A-Za-z0-9+/]{{{LEAST_RUN},}}={{0,2}}")
+HEX_RUN = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{{2 * LEAST_RUN - 8},}}")
+#: Three dotted parts; a run of the alphabet is entered at its start alone.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+BEGIN, END = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----"), "-----END {}-----"
+HEADER = re.compile(r"(?m)^[A-Za-z-]{1,64}: .*$")
+WRAPPED = re.compile(r"(?:(?<=\n)|\A)(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)++[A-Za-z0-9+/]{1,76}={0,2}")
+PRINTABLE = re.compile(rb"[\t\n\r -~]{12,}\Z")
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\0"
 
@@ -115,38 +128,61 @@ def json_object(data: bytes | None) -> dict | None:
     return x if isinstance(x, dict) else None
 
 
-def decoded_kind(data: bytes | None) -> str | None:
+def decoded_kind(data: bytes | None, depth: int = DEPTH) -> str | None:
     if not data:
         return None
     if is_der(data):
         return "der"
     if is_ssh(data):
         return "ssh"
-    if PRINTABLE.match(data) and base_spans(data.decode("ascii")):
-        return "enc"
+    if PRINTABLE.match(data):
+        text = data.decode("ascii")
+        if base_spans(text) or depth > 1 and confirmed_spans(text, depth - 1):
+            return "enc"
     return None
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            body = re.sub(r"\\[nr]|\s|[A-Za-z-]+: [^\n]*\n", "", m[2])
-            data = unbase64(body)
-            if data and (is_der(data) or is_ssh(data)):
-                out.append((m.start(), m.end(), "pem"))
+def run_kind(run: str, depth: int) -> str | None:
+    """Of a run in either alphabet."""
+    url = "-" in run or "_" in run
+    if url and ("+" in run or "/" in run):
+        return None
+    return decoded_kind(unbase64(run, url), depth)
+
+
+def armoured(text: str) -> list[tuple[int, int, str]]:
+    """Blocks whose bodies confirm. A block begins at the last BEGIN before its END, so that every part of the text is read once."""
+    out, begins = [], list(BEGIN.finditer(text))
+    for m, stop in zip(begins, [m.start() for m in begins[1:]] + [len(text)]):
+        end = text.find(close := END.format(m[1]), m.end(), stop)
+        if end < 0:
+            continue
+        body = HEADER.sub("", text[m.end() : end].replace("\\r", "\r").replace("\\n", "\n"))
+        data = unbase64("".join(body.split()))
+        if data and (is_der(data) or is_ssh(data)):
+            out.append((m.start(), end + len(close), "pem"))
+    return out
+
+
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
+    out = armoured(text) if "-----BEGIN " in text else []
     if "eyJ" in text:
         for m in JWT.finditer(text):
-            head, claims, _ = m[0].split(".")
-            h = json_object(unbase64(head, True))
-            if h and isinstance(h.get("alg"), str) and json_object(unbase64(claims, True)) is not None:
+            h = json_object(unbase64(m[1], True))
+            if h and isinstance(h.get("alg"), str) and json_object(unbase64(m[2], True)) is not None:
                 out.append((m.start(), m.end(), "jwt"))
     for m in BASE64_RUN.finditer(text):
-        if kind := decoded_kind(unbase64(m[0])):
+        if kind := run_kind(m[0], depth):
             out.append((m.start(), m.end(), kind))
+        elif "-" in m[0] or "_" in m[0]:  # hyphens and underscores may stand around a run of the standard alphabet
+            out += [(m.start() + p.start(), m.start() + p.end(), kind) for p in STANDARD_RUN.finditer(m[0]) if (kind := run_kind(p[0], depth))]
     for m in HEX_RUN.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]))):
+        if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]), depth)):
             out.append((m.start(), m.end(), kind))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            if kind := decoded_kind(unbase64("".join(m[0].split())), depth):
+                out.append((m.start(), m.end(), kind))
     return out
 
 

@@ -271,13 +271,92 @@ def test_secrets():
     assert kinds("AKIA" + "B" * 16) == ["access"] and kinds("AKIA" + "B" * 15) == []
     assert secrets.find_spans("é" * 3 + "0123456789abcdef01234567") == [(3, 27, "hex")]
     assert kinds(base64.b64encode(b"password=hunter2hunter2").decode() + " ") == ["enc"]
-    assert kinds("-----BEGIN KEY-----\n" + base64.b64encode(seq).decode() + "\n-----END KEY-----")[0] == "pem"
+    block = lambda body: f"x -----BEGIN KEY-----\n{body}\n-----END KEY----- y"
+    assert kinds(block(base64.b64encode(seq).decode()))[0] == "pem"
+    assert kinds(block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + base64.b64encode(seq).decode()))[0] == "pem"
+    assert secrets.find_spans("-----BEGIN KEY-----" + block(base64.b64encode(seq).decode()))[0][0] == 21  # the last BEGIN counts
+    assert kinds(block("AAAA")) == []
+    assert kinds(base64.b64encode(b"token=abcdef1").decode() + " ") == ["enc"]  # 20 characters
+    assert kinds(b"password=abc1234".hex().upper()) == ["enc"]
+    assert kinds("x " + base64.urlsafe_b64encode(b"\xfb\xff" + ssh).decode()) == [] and kinds("x " + base64.urlsafe_b64encode(ssh).decode()) == ["ssh"]
+    assert kinds(base64.b64encode(base64.b64encode(b"password=hunter2hunter2")).decode()) == ["enc"]  # two layers
+    long = bytes([0x30, 0x81, 0x8C, 0x02, 0x01, 0x00, 0x04, 0x81, 0x84]) + bytes(range(132)) + bytes([0x05, 0x00])
+    assert secrets.is_der(long)
+    wrapped = base64.b64encode(long).decode()
+    lines = "\n".join(wrapped[i : i + 64] for i in range(0, len(wrapped), 64))
+    assert "der" in kinds("before\n" + lines + "\nafter")
+    assert kinds("eyJ" * 10 + ".a") == [] and kinds("my-key-" + base64.b64encode(ssh).decode()) == ["ssh"]
+
+
+def by_hand(text):
+    """The base kinds, character by character."""
+    out, word = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(name)].translate({c: c + 32 for c in range(65, 91)}) == name:
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                k = j
+                while k < len(text) and text[k] in word:
+                    k += 1
+                if k > j:
+                    if k - j >= 6:
+                        out.append((i, k, "assign"))
+                    i = k - 1
+                    break
+        i += 1
+    for kind, first, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            k = i + len(first)
+            if text[i:k] == first and k < len(text) and text[k] in chars:
+                while k < len(text) and text[k] in chars:
+                    k += 1
+                if k - i >= least:
+                    out.append((i, k, kind))
+                i = k
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[0], secrets.BASE.index(s[2])))
+
+
+def test_base_spans_by_hand():
+    rng = random.Random(13)
+    bits = ["password", "PassWd", "secret", "toKen", "api_key", "apikey", "\"", "'", " ", ":", "=", "abc123", "AKIA", "Z9" * 8, "0a" * 12, "é", "\n", "x" * 6, "K", "deadbeef" * 4]
+    for _ in range(3_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert sorted(secrets.base_spans(text), key=lambda s: (s[0], secrets.BASE.index(s[2]))) == by_hand(text), text
+
+
+def test_scan_time_grows_with_the_text_alone():
+    import time
+
+    for unit in ("eyJ", "eyJa.", "-----BEGIN A-----", "-----BEGIN A-----x-----END B-----", "token", "A" * 64 + "\n", "abc: d\n", "f", "=", "password "):
+        took = []
+        for n in (100_000, 400_000):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            secrets.find_spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.2, unit
 
 
 def test_secret_scan_rows(spark):
-    rows = [(1, None), (2, ""), (None, "secret=abcdef"), (3, "x" * 50_000 + " api_key: abcdefgh")]
-    got = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(docs(spark, rows))).collect()}
-    assert got[3].spans == "assign:50001:50018" and got[None].n_assign == 1 and got[1].spans == ""
+    rows = [(1, None), (2, ""), (None, "secret=abcdef"), (3, "x" * 50_000 + " api_key: abcdefgh"), (4, "token=abcdefg"), (4, "token=abcdefg")]
+    found = secrets.digest(secrets.scan_secrets(docs(spark, rows))).collect()
+    got = {r.doc_id: r for r in found}
+    assert got[3].spans == "assign:50001:50018" and got[None].n_assign == 1 and got[1].spans == "" and len(found) == 6
+    assert got[4].base_sha256 == hashlib.sha256(b"assign:0:13").hexdigest()
+    assert secrets.digest(secrets.scan_secrets(docs(spark, []))).collect() == []
 
 
 def test_line_dedup(spark):
@@ -290,6 +369,12 @@ def test_line_dedup(spark):
     kept = {r.doc_id for r in line_dedup.strip_boilerplate(docs(spark, rows)).collect()}
     assert 52 not in kept and kept >= {50, 51, 53, 54, *range(30)}
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+    clash = docs(spark, [*rows, rows[3], (None, note, "s1"), (60, "\n".join(["a long text without boilerplate"] * 20_000), "s9")]).withColumn("__n_lines", F.lit("x")).withColumn("gone", F.lit(1)).withColumn("tk", F.lit(2)).withColumn("site", F.lit(3)).withColumn("h1", F.lit(4))
+    out = line_dedup.strip_boilerplate(clash)
+    assert out.columns == clash.columns
+    again = [r for r in out.collect()]
+    assert sum(r.doc_id == 3 for r in again) == 2 and all(r.text == got[3].text for r in again if r.doc_id == 3)
+    assert [r.text.count("\n") for r in again if r.doc_id == 60] == [19_999] and None not in {r.doc_id for r in again}
 
 
 @pytest.mark.parametrize("sites", [8, 9, 10, 11, 12])
