@@ -1,6 +1,7 @@
 """The registered queries and their SQL, by domain."""
 
-from foliant.plans import analytics, documents, records, streams
+from foliant.plans import analytics, dates, documents, records, streams, texts
 
-QUERIES = documents.QUERIES | records.QUERIES | analytics.QUERIES | streams.QUERIES
-ORACLE = documents.ORACLE | records.ORACLE | analytics.ORACLE | streams.ORACLE
+MODULES = (documents, dates, texts, records, analytics, streams)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

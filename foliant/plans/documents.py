@@ -24,14 +24,14 @@ def query(sql: str | None = None):
 
 
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents"
-KEYWORDS = " OR ".join(f"contains(lower(line), '{w}')" for w in T.HEADER_WORDS)
+KEYWORDS = "education|degrees|training|academic background|qualifications|positions|appointments|employment|experience|publications|articles|papers|manuscripts|peer-reviewed|chapters|books|abstracts|proceedings|bibliography|scholarly works|grants|funding|research support|grant support|contracts|teaching|courses|instruction|lectures|curriculum|mentoring|mentorship|supervision|advisees|students supervised|theses supervised|graduate students|postdoctoral|trainees|presentations|talks|seminars|symposia|keynote|service|committees|leadership|editorial|review|awards|honors|recognition|prizes|fellowships|affiliations|memberships|societies|research|patents|intellectual property|inventions|media|press|outreach|public engagement|clinical|licensure|certifications|skills|languages|references|personal|contact|workshop|participation|travel"
+REJECTS = r"\b\d{4}\s*[-–]\s*(\d{4}|present)\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b|\(\d{4}\)|\bet\s+al\.|\bpp?\.\s*\d+|\bvol\.\s*\d+|\bdoi:|\bpmid:"
 HEADERS = f"""
-SELECT doc_id, idx, line, CASE WHEN length(line) > 100 OR regexp_matches(line, '{T.YEAR}') OR n = 0 THEN 0 ELSE least(10,
-  CASE WHEN kw THEN 4 ELSE 0 END + CASE WHEN caps THEN 3 ELSE 0 END
-  + CASE WHEN n <= 6 AND NOT caps AND regexp_matches(line, '^[A-Z][A-Za-z]*( +[A-Z][A-Za-z]*)*[:.]?$') THEN 2 ELSE 0 END
-  + CASE WHEN ends_with(rtrim(line, ' '), ':') THEN 1 ELSE 0 END + CASE WHEN n BETWEEN 1 AND 5 THEN 1 ELSE 0 END + CASE WHEN kw AND n <= 2 THEN 2 ELSE 0 END) END AS tenths
-FROM (SELECT *, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS n, ({KEYWORDS}) AS kw,
-  length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 0 AND NOT regexp_matches(line, '[a-z]') AS caps FROM ({LINES}))"""
+SELECT doc_id, idx, line, CASE WHEN length(t) > 100 OR regexp_matches(lower(t), '{REJECTS}') OR n = 0 THEN 0 ELSE least(10,
+  CASE WHEN kw THEN 4 ELSE 0 END + CASE WHEN upper(t) = t AND lower(t) <> t AND length(t) > 3 THEN 3 ELSE 0 END
+  + CASE WHEN n <= 6 AND list_bool_and(list_transform(words, lambda w: upper(w[1]) = w[1] AND lower(w[1]) <> w[1])) THEN 2 ELSE 0 END
+  + CASE WHEN ends_with(t, ':') THEN 1 ELSE 0 END + CASE WHEN n BETWEEN 1 AND 5 THEN 1 ELSE 0 END + CASE WHEN kw AND n <= 2 THEN 2 ELSE 0 END) END AS tenths
+FROM (SELECT *, len(words) AS n FROM (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS words, regexp_matches(lower(t), '{KEYWORDS}') AS kw FROM (SELECT *, trim(line, ' ') AS t FROM ({LINES}))))"""
 COLLAPSE = r"trim(regexp_replace(lower({}), '[ \t\n\r]+', ' ', 'g'), ' ')"
 KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]', '', 'g')"
 
@@ -82,7 +82,7 @@ def norm_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.collapse(F.col("text")).alias("norm"))
 
 
-STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+STOPS = "'a', 'an', 'and', 'as', 'at', 'be', 'by', 'for', 'from', 'i', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'was', 'with'"
 
 
 @query(f"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({STOPS})))) AS words FROM documents")

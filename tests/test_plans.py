@@ -56,7 +56,7 @@ def test_exact_duplicates_ignore_case_and_punctuation(spark):
 
 
 def test_header_scores(spark):
-    lines = {"EDUCATION": 10, "Education:": 10, "no header at all in this line of text": 0, "Grants 2001": 0, "": 0}
+    lines = {"EDUCATION": 10, "Education:": 10, "no header at all in this line of text": 0, "Grants 2001": 7, "Grants 2001-2003": 0, "Paper (2001)": 0, "": 0, "ICU": 3, "x" * 101: 0, "Two Words Here": 3}
     out = spark.createDataFrame([(x,) for x in lines], "line string").select("line", text.header_tenths(F.col("line")).alias("t"))
     assert {r.line: r.t for r in out.collect()} == lines
 
