@@ -11,14 +11,19 @@ still spans several components is compared across components only, where sets sh
 and sizes and bucket parities leave room for the similarity. So a group of thousands of
 near copies costs about one comparison a member, and no candidate is given up.
 
+Keys that many sets share are never gathered: aggregates over them are partial, and what they find is written as a table before it is joined, so that both sides of the
+join are plain shuffles, which adaptive execution splits where a key is hot.
+
 Defined results. Equal sets are one class. Null or wordless texts: empty set, linked with nothing,
-n_shingles 0. Fewer words than a shingle: the whole sequence is the one shingle. Rows with a null
+n_shingles 0. Fewer words than a shingle: the whole sequence is the one shingle. Very long texts are taken whole, one set at a time. Rows with a null
 doc_id take no part in links and are kept with a null component. Repeated rows each give a row; a
-doc_id with several texts is judged row by row. An empty table gives an empty result. Other columns are ignored.
+doc_id with several texts is judged row by row, by its text's hash. Of a group the smallest doc_id stays, and of several texts with one set under it the one with the smallest hash. An empty table gives an empty
+result. Other columns, whatever their names, are ignored, and kept by keep_one.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,7 +58,7 @@ class Words(dict):
     """64-bit hashes of words; cleared when large, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -127,7 +132,7 @@ def sketcher(cfg: NearDup):
             each = cfg.groups**2
             flat = np.concatenate(tables).reshape(-1).view(np.int64) if tables else np.empty(0, np.int64)
             ends = np.cumsum([0, *(each if x else 0 for x in n)]).astype(np.int32)
-            return pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+            return pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
         return step
 
@@ -204,14 +209,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
-    spark, rows = docs.sparkSession, doc_rows(docs)
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), and of what text and set: text_key, d1, d2."""
+    spark, rows = docs.sparkSession, doc_rows(docs).withColumn("text_key", F.xxhash64("text"))
     with Scratch(spark) as scratch:
-        sketches = scratch.keep(map_rows(rows, sketcher(cfg), "doc_id long, n long, d1 long, d2 long, keys array<long>"))
+        sketches = scratch.keep(map_rows(rows, sketcher(cfg), "doc_id long, text_key long, n long, d1 long, d2 long, keys array<long>"))
         classes = sketches.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         # a class is named by its smallest doc_id; the digest tells the texts of a repeated doc_id apart
         post = classes.select("rep", "n", "d1", "d2", F.explode("keys").alias("key"))
-        crowd = post.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+        crowd = scratch.keep(post.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
         shared = scratch.keep(post.join(crowd, "key"))
         wanted = shared.select("rep", "d1", "d2").distinct()
         sets = scratch.keep(map_rows(wanted.join(rows, F.col("rep") == F.col("doc_id")).select("rep", "d1", "d2", "text"), set_reader(cfg.words), "rep long, items array<long>" + "".join(f", {p} long" for p in PARITY)))
@@ -221,21 +226,21 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
         for turn in range(cfg.hub_rounds + 1):
             if turn:  # only buckets that still span components are looked at again
                 spans = shared.join(comp.select("rep", "comp"), "rep").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-                shared = scratch.keep(shared.join(spans, "key"))
+                shared = scratch.keep(shared.join(scratch.keep(spans), "key"))
             at = shared.join(comp.drop("n"), "rep") if turn else shared.withColumn("comp", F.col("rep"))
             last, own = turn == cfg.hub_rounds, PARITY if turn else []
             if not last:
                 hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), *(F.col(p).alias("hub_" + p) for p in own))).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "h.*")
-                pairs = at.join(hub, "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent) & (near_parity("hub_", F.col("n") + F.col("hub_n"), cfg.percent) if turn else F.lit(True))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+                pairs = at.join(scratch.keep(hub), "key").filter((F.col("comp") != F.col("hub_comp")) & alike(F.col("n"), F.col("hub_n"), cfg.percent) & (near_parity("hub_", F.col("n") + F.col("hub_n"), cfg.percent) if turn else F.lit(True))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
             else:
                 # of all sets in buckets that span components, those that share one of their rarest items; of these, all but the largest component that has the item, once for each other component that it meets
                 at = rarest(shared.select("rep").distinct().join(sets.select("rep", "items"), "rep"), cfg.percent).join(comp.select("rep", "comp"), "rep")
                 at = scratch.keep(at)
                 sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("far"))
                 main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
-                rest = at.join(main, "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"), "n", "room")
+                rest = at.join(scratch.keep(main), "key").filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("comp").alias("rc"), "n", "room")
                 fits = (F.col("n") * cfg.percent <= F.col("hi") * 100) & (F.col("lo") * cfg.percent <= F.col("n") * 100) & (F.least("room", "far") * (100 + cfg.percent) >= (F.col("n") + F.col("lo")) * cfg.percent)
-                meets = rest.join(sizes.drop("c"), "key").filter((F.col("comp") != F.col("rc")) & fits).select("r", "comp").distinct()
+                meets = rest.join(scratch.keep(sizes.drop("c")), "key").filter((F.col("comp") != F.col("rc")) & fits).select("r", "comp").distinct()
                 one = comp.select(F.col("rep").alias("r"), F.col("n").alias("rn"), *(F.col(p).alias("r_" + p) for p in PARITY))
                 pairs = meets.join(one, "r").join(comp, "comp").filter(alike(F.col("n"), F.col("rn"), cfg.percent) & near_parity("r_", F.col("n") + F.col("rn"), cfg.percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
             pairs = pairs.distinct()
@@ -251,17 +256,23 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
                 roots = components(scratch, links)
                 comp = scratch.keep(comp.join(roots, comp["comp"] == roots["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"), "n", *PARITY))
         of_class = classes.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
-        known = sketches.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-        out = known.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        return cut(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+        known = sketches.select("doc_id", "text_key", "n", "d1", "d2").join(scratch.keep(of_class), ["d1", "d2"], "left")
+        component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+        out = known.withColumn("component_id", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", "text_key", "d1", "d2"))
 
 
 def keep_one(docs: DataFrame, cfg: NearDup = NearDup()) -> DataFrame:
     """The documents that stay: one of each group, and every one that is linked with nothing. Of repeated rows
-    one stays, unless they have no words or no doc_id."""
-    found = near_duplicates(docs, cfg)
-    each = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(~F.col("kept")).alias("__drop"), F.count_if(F.col("n_shingles") > 0).alias("__rows")).filter("__drop or __rows > 1").withColumnRenamed("doc_id", "__id")
+    one stays, unless they have no words or no doc_id; different texts under one doc_id that are linked with nothing all stay."""
+    worded = near_duplicates(docs, cfg).filter("doc_id is not null and n_shingles > 0")
+    each = worded.groupBy("doc_id", "text_key").agg(F.max(~F.col("kept")).alias("gone"), F.count(F.lit(1)).alias("rows"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    # of several texts with one set under a doc_id: few rows, of one doc_id
+    first = F.min("text_key").over(Window.partitionBy("doc_id", "d1", "d2"))
+    each = each.select("doc_id", "text_key", (F.col("gone") | (F.col("text_key") != first)).alias("gone"), "rows").filter("gone or rows > 1")
+    i, tk, gone, rows = (f"__{x}_{uuid.uuid4().hex}" for x in ("id", "tk", "gone", "rows"))
     # the same join at every size
-    rest = docs.join(each.hint("merge"), docs["doc_id"] == F.col("__id"), "left").filter("not coalesce(__drop, false)")
-    single, many = rest.filter("coalesce(__rows, 0) <= 1").select(*docs.columns), rest.filter("__rows > 1").select(*docs.columns)
-    return single.unionByName(many.dropDuplicates(["doc_id"]))
+    on = (docs["doc_id"] == F.col(i)) & (F.xxhash64(docs["text"].cast("string")) == F.col(tk))
+    rest = docs.join(each.toDF(i, tk, gone, rows).hint("merge"), on, "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    single, many = rest.filter(F.coalesce(F.col(rows), F.lit(1)) <= 1), rest.filter(F.col(rows) > 1).dropDuplicates([i, tk])
+    return single.select(*docs.columns).unionByName(many.select(*docs.columns))

@@ -93,6 +93,20 @@ def test_rarest_items_lose_no_pair(spark):
 
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
+    assert near_dedup.keep_one(docs(spark, [])).collect() == []
+
+
+def test_keep_one_judges_texts(spark):
+    """Several texts of one doc_id, clashing columns, a very long text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(5, a), (5, b), (7, a), (9, b + " end"), (5, a.upper()), (5, a), (1, c), (1, None), (1, None), (2, long), (3, long + " more"), (None, a), (None, a)]
+    table = docs(spark, rows).withColumn("text_key", F.lit(1)).withColumn("gone", F.lit("x")).withColumn("d1", F.lit(0)).withColumn("rows", F.lit(9))
+    left = near_dedup.keep_one(table)
+    assert left.columns == table.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert [x for x in got if x[0] == 5 and x[1] == b] and len([x for x in got if x[0] == 5 and x[1].lower() == a]) == 1
+    assert [x for x in got if x[0] != 5] == sorted([(1, c), (1, None), (1, None), (2, long), (None, a), (None, a)], key=repr)
 
 
 def test_chat_round_trip(spark):
