@@ -150,20 +150,21 @@ def greedy_dedup(spark, d):
     return dedup.greedy_keep(dedup.near_pairs(parts, "id", "g", "p_name"), parts.select("id", F.length("p_name").alias("n")))
 
 
-_docs_titles = "substr(string_split(text, chr(10))[1], 1, 200)"
+_docs_titles = "string_split(text, chr(10))[1]"
 BEST = f"""WITH a AS (SELECT doc_id AS id, {SETS.format(_docs_titles)} AS w FROM documents), b AS (SELECT item_id, {SETS.format(_docs_titles)} AS v FROM benchmark),
 s AS (SELECT id, item_id, len(list_intersect(w, v)) / least(len(w), len(v)) AS overlap FROM a, b WHERE len(w) >= 4 AND len(v) >= 4)
-SELECT id, arg_max(item_id, (overlap, -item_id)) AS item_id, round(max(overlap), 6) AS overlap FROM s WHERE overlap >= 0.5 GROUP BY id"""
+SELECT id, arg_max(item_id, (overlap, -item_id)) AS item_id, round(max(overlap), 6) AS overlap, max(overlap) >= 0.8 AS by_title FROM s WHERE overlap >= 0.4 GROUP BY id"""
 
 
 def _best(spark, d):
     title = F.split("text", "\n").getItem(0).alias("title")
-    return dedup.best_overlap(table(spark, d, "documents").select(F.col("doc_id").alias("id"), title), table(spark, d, "benchmark").select("item_id", title), 0.5)
+    return dedup.best_overlap(table(spark, d, "documents").select(F.col("doc_id").alias("id"), title), table(spark, d, "benchmark").select("item_id", title), 0.4)
 
 
 @query(BEST)
 def title_overlap_best_match(spark, d):
-    return _best(spark, d)
+    """0.4 is enough where an identifier led to the item, 0.8 where its title did."""
+    return _best(spark, d).withColumn("by_title", F.col("overlap") >= 0.8)
 
 
 @query(f"""WITH m AS ({BEST}), r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY overlap DESC) AS k FROM m)

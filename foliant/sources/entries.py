@@ -37,11 +37,11 @@ def date_text(kind: Column, y: Column, m: Column, d: Column, span: Column) -> Co
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entry_id, owner, section (of the owner), code, title, place, y, m, d, span, kind, dates, text."""
+    """entry_id, person, owner (of many persons), section (of the owner), code, title, place, y, m, d, span, kind, dates, text."""
     o = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     rows = o.select(
-        key.alias("entry_id"), (cust % 100).alias("owner"), (key % 5).alias("section"), pick(CODES, key % 7).alias("code"), pick(TITLES, key % 7).alias("title"), pick(PLACES, cust % 4).alias("place"),
+        key.alias("entry_id"), cust.alias("person"), (cust % 100).alias("owner"), (key % 5).alias("section"), pick(CODES, key % 7).alias("code"), pick(TITLES, key % 7).alias("title"), pick(PLACES, cust % 4).alias("place"),
         F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"), (cust % 6).cast("int").alias("span"), (F.floor(key / 7) % 10).cast("int").alias("kind"),
     )
     rows = rows.withColumn("dates", date_text(F.col("kind"), F.col("y"), F.col("m"), F.col("d"), F.col("span")))
@@ -57,5 +57,5 @@ ENTRIES = f"""(SELECT *, title || ', ' || place || ', ' || dates AS text FROM (S
   WHEN 4 THEN m || '/' || d || '/' || lpad((y % 100)::VARCHAR, 2, '0') WHEN 5 THEN y || '-' || lpad(m::VARCHAR, 2, '0') WHEN 6 THEN 'undated' WHEN 7 THEN y || ', ' || (y + 1) || ', ' || (y + 3)
   WHEN 8 THEN lpad(m::VARCHAR, 2, '0') || '/' || lpad((y % 100)::VARCHAR, 2, '0') || '- ' || lpad((d % 12 + 1)::VARCHAR, 2, '0') || '/' || lpad(((y + span) % 100)::VARCHAR, 2, '0')
   ELSE y || '-' || lpad(m::VARCHAR, 2, '0') || '-' || (y + span) || '-' || lpad((d % 12 + 1)::VARCHAR, 2, '0') END AS dates FROM (
-SELECT o_orderkey AS entry_id, o_custkey % 100 AS owner, o_orderkey % 5 AS section, {_list(CODES)}[o_orderkey % 7 + 1] AS code, {_list(TITLES)}[o_orderkey % 7 + 1] AS title, {_list(PLACES)}[o_custkey % 4 + 1] AS place,
+SELECT o_orderkey AS entry_id, o_custkey AS person, o_custkey % 100 AS owner, o_orderkey % 5 AS section, {_list(CODES)}[o_orderkey % 7 + 1] AS code, {_list(TITLES)}[o_orderkey % 7 + 1] AS title, {_list(PLACES)}[o_custkey % 4 + 1] AS place,
   year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, (o_custkey % 6)::INT AS span, ((o_orderkey // 7) % 10)::INT AS kind, strftime(o_orderdate, '%B') AS mon FROM orders)))"""
