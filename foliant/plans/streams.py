@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import table
+from foliant.sources.tables import shared_dir, table
 from foliant.streaming import throttle
 
 QUERIES: dict = {}
@@ -33,8 +33,7 @@ def stream(spark, d):
 
 def drained(spark, frame, mode: str = "append"):
     """Runs a stream over what there is, into a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/foliant-checkpoints"
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = frame.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{root}/out")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where ``spark.checkpoint.dir`` is unset, in local mode.
+OWN_SHARED_DIR = "file:///tmp/foliant-shared"
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -17,3 +22,15 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         if name in text:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. There is a default in local mode alone: elsewhere a machine's own folder would lose data."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = OWN_SHARED_DIR
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
