@@ -1,7 +1,7 @@
 """The registered queries and their SQL, by domain."""
 
-from foliant.plans import analytics, dates, documents, identities, records, streams, structure, texts
+from foliant.plans import analytics, dates, documents, exchange, flows, identities, measures, nested, records, streams, structure, texts
 
-MODULES = (documents, dates, texts, identities, structure, records, analytics, streams)
+MODULES = (documents, dates, texts, identities, structure, measures, nested, records, exchange, flows, analytics, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import shared_dir, table
+from foliant.sources.tables import settled, shared_dir, table
 from foliant.streaming import throttle
 
 QUERIES: dict = {}
@@ -36,7 +36,21 @@ def drained(spark, frame, mode: str = "append"):
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = frame.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(f"{root}/out")
+    return settled(spark.read.schema(frame.schema).parquet(f"{root}/out"), root)
+
+
+def drained_updates(spark, frame, keys: list[str]):
+    """Like it for an aggregate: what changed in each batch goes to the folder, and the last state of each key is read back. Nothing is held in the driver."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(changed, batch: int) -> None:
+        changed.withColumn("__batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out")
+
+    q = frame.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rest = [c for c in frame.columns if c not in keys]
+    kept = spark.read.parquet(f"{root}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("last")).select(*keys, "last.*")
+    return settled(kept, root)
 
 
 @query("SELECT user_id, max(n) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id")
@@ -59,12 +73,11 @@ def session_idle(spark, d):
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
-    """Tumbling windows over the stream."""
-    rows = stream(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
+    """Tumbling windows over the stream; the watermark lets old ones go from the state."""
+    rows = stream(spark, d).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "60 days")
     out = rows.groupBy("event_type", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    q = out.writeStream.format("memory").queryName(name := f"w{uuid.uuid4().hex}").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
+    last = drained_updates(spark, out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total")), ["event_type", "hour"])
+    return last.select("event_type", "hour", "n", "total")
 
 
 @query()
@@ -82,7 +95,32 @@ def dedupe_tokens(spark, d):
     return drained(spark, throttle.once_per_token(stream(spark, d)).select("event_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("tokens"))
 
 
-@query("SELECT user_id, count(*) AS deliveries, count(*) > 12 AS dead FROM events GROUP BY user_id")
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 13")
 def dead_letter_after_n(spark, d):
-    """A token with more than so many deliveries is dead."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("deliveries"), (F.count(F.lit(1)) > 12).alias("dead"))
+    """The delivery of a token that is one too many goes to the dead letters; the counter is state and lives on from batch to batch."""
+    return drained(spark, throttle.dead_letters(stream(spark, d), 12))
+
+
+@query("SELECT count(*) AS first_run, 0 AS second_run FROM events")
+def ack_and_restart(spark, d):
+    """What is written is acknowledged with its offsets: a second run from the same checkpoint reads nothing again."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    seen = []
+    for run in ("a", "b"):
+        q = stream(spark, d).select("event_id").writeStream.format("parquet").option("path", f"{root}/{run}").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.append(spark.read.schema("event_id long").parquet(f"{root}/{run}").agg(F.count(F.lit(1)).alias("n")) if sum(p["numInputRows"] for p in q.recentProgress) else spark.range(0).agg(F.count(F.lit(1)).alias("n")))
+    return settled(seen[0].toDF("first_run").join(seen[1].toDF("second_run"), F.lit(True)), root)
+
+
+@query("SELECT user_id AS run_id, min(ts) AS handed_in, count(*) AS events FROM events GROUP BY user_id")
+def produce_and_consume(spark, d):
+    """Work tokens written to a queue folder by one stream and read by another."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream(spark, d).select(F.col("user_id").alias("run_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")).writeStream.format("json").option("path", f"{root}/queue").option("checkpointLocation", f"{root}/producer").trigger(availableNow=True).start()
+    q.awaitTermination()
+    tokens = spark.readStream.schema("run_id long, ts long").json(f"{root}/queue")
+    q = tokens.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/consumer").trigger(availableNow=True).start()
+    q.awaitTermination()
+    taken = spark.read.schema("run_id long, ts long").parquet(f"{root}/out")
+    return settled(taken.groupBy("run_id").agg(F.timestamp_micros(F.min("ts")).cast("timestamp_ntz").alias("handed_in"), F.count(F.lit(1)).alias("events")), root)

@@ -34,3 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(frame: DataFrame, root: str) -> DataFrame:
+    """What a scratch folder holds, as a checkpoint in the shared folder; the scratch folder goes."""
+    shared_dir(frame.sparkSession)
+    out = frame.checkpoint()
+    remove(frame.sparkSession, root)
+    return out

@@ -1,4 +1,4 @@
-"""Stateful stream operators: two throttles and deduplication of tokens."""
+"""Stateful stream operators: two throttles, dead letters, deduplication of tokens."""
 
 from __future__ import annotations
 
@@ -51,3 +51,19 @@ def sliding(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 def once_per_token(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Redelivered tokens are dropped while the watermark holds their state."""
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def dead_letters(events: DataFrame, limit: int) -> DataFrame:
+    """user_id, event_id, ts: of each token the delivery that is one over the limit. The count is state, so it may come in any batch."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        if seen <= limit < seen + len(rows):
+            dead = rows.iloc[[limit - seen]]
+            yield pd.DataFrame({"user_id": [key[0]], "event_id": dead["event_id"].tolist(), "at": dead["at"].tolist()})
+        state.update((seen + len(rows),))
+
+    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, at long", "seen long", "append", GroupStateTimeout.NoTimeout)
+    return found.select("user_id", "event_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
