@@ -11,22 +11,32 @@ from foliant.functions.text import dedupe_key, significant_words, word_jaccard
 LEAST_CHARS = 20
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows after the first of each key, with the first; short texts aren't candidates. A partial aggregate finds the first,
-    so a key with many rows isn't gathered."""
-    keyed = docs.filter(F.length("text") >= LEAST_CHARS).select("doc_id", dedupe_key(F.col("text")).alias("key")).filter("key <> ''").select("doc_id", F.sha2("key", 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keyed.join(first, "key").filter("doc_id <> first_id").select("doc_id", "first_id")
+def exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """Rows after the first of each key, with the first; short texts aren't candidates. Keys are computed once, behind a shuffle by key and salt that both the
+    aggregate and the join read, so a key with many rows isn't gathered."""
+    keyed = docs.filter(F.length("text") >= LEAST_CHARS).select("doc_id", F.sha2(F.nullif(dedupe_key(F.col("text")), F.lit("")), 256).alias("key")).filter("key is not null")
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).repartition("key", "salt")
+    first = dealt.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    many = first.select("key", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return dealt.join(many, ["key", "salt"]).filter("doc_id <> first_id").select("doc_id", "first_id")
 
 
 def near_pairs(rows: DataFrame, key: str, group: str, text: str, jaccard: float = 0.6, contain: float = 0.75) -> DataFrame:
-    """Pairs inside a group by shared words over the union, or over the smaller set. Candidates share a word."""
+    """Pairs inside a group by shared words over the union, or over the smaller set. A pair shares a share of ``contain`` of the smaller set at least (a Jaccard share
+    that is enough implies as much of it as ``jaccard``), so it shares one of the first words of either set, rarest first: only those are joined on."""
     sets = rows.select(F.col(key).alias("id"), F.col(group).alias("g"), significant_words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    terms = sets.select("id", "g", "w", F.explode("w").alias("t"))
-    a, b = terms.select("g", "t", F.col("id").alias("a"), F.col("w").alias("wa")), terms.select("g", "t", F.col("id").alias("b"), F.col("w").alias("wb"))
-    pairs = a.join(b, ["g", "t"]).filter("a < b").groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("both"), F.first(F.size("wa")).alias("na"), F.first(F.size("wb")).alias("nb"))
-    j, c = F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), F.col("both") / F.least("na", "nb")
-    return pairs.filter((j >= jaccard) | (c >= contain)).select("g", "a", "b", F.round(j, 6).alias("jaccard"), F.round(c, 6).alias("containment"))
+    least = min(jaccard, contain)
+    often = sets.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count(F.lit(1)).alias("f"))
+    terms = sets.select("g", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(often, ["g", "t"])
+    # the smaller set has its shared words among all of its words but those that may be missing
+    rank = F.row_number().over(Window.partitionBy("g", "id").orderBy("f", "t"))
+    first = terms.withColumn("k", rank).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("g", "t", F.col("id").alias("a"))
+    pairs = first.join(terms.select("g", "t", F.col("id").alias("b")), ["g", "t"]).filter("a <> b").select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: sets.select("g", F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    at = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+    both = F.size(F.array_intersect("wa", "wb"))
+    j, c = both / (F.size("wa") + F.size("wb") - both), both / F.least(F.size("wa"), F.size("wb"))
+    return at.filter((j >= jaccard) | (c >= contain)).select("g", "a", "b", F.round(j, 6).alias("jaccard"), F.round(c, 6).alias("containment"))
 
 
 def greedy_keep(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -46,11 +56,27 @@ def greedy_keep(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def best_overlap(rows: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """Each row's best item by title overlap (shared over the shorter); ties go to the smaller item id."""
+    """Each row's best item by title overlap (shared over the shorter); ties go to the smaller item id. Rows and items meet on an item's rarest words among items, as many as
+    leave too few others for the share where the item is the shorter one, and on a row's where the row is."""
     a = rows.select("id", significant_words(F.col("title")).alias("w")).filter(F.size("w") >= 4)
     b = items.select("item_id", significant_words(F.col("title")).alias("v")).filter(F.size("v") >= 4)
-    shared = a.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).join(b.select("item_id", F.size("v").alias("m"), F.explode("v").alias("t")), "t")
-    scored = shared.groupBy("id", "item_id").agg((F.count(F.lit(1)) / F.least(F.first("n"), F.first("m"))).alias("overlap")).filter(F.col("overlap") >= least)
+    often = b.select(F.explode("v").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+
+    def first(sets: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFrame]:
+        """All terms that items have, and of each set those before the share could still be reached without them."""
+        every = sets.select(key, F.size(words).alias("n"), F.explode(words).alias("t")).join(often, "t")
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("f", "t"))
+        missing = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(key))
+        near = every.withColumn("k", rank).withColumn("missing", missing).filter(F.col("k") <= F.col("n") - F.col("missing") - F.ceil(F.col("n") * least) + 1)
+        return every.select(key, "n", "t"), near.select(key, "n", "t")
+
+    a_all, a_near = first(a, "id", "w")
+    b_all, b_near = first(b, "item_id", "v")
+    shorter_row = a_near.join(b_all.withColumnRenamed("n", "m"), "t").filter("n <= m")
+    shorter_item = a_all.join(b_near.withColumnRenamed("n", "m"), "t").filter("m <= n")
+    pairs = shorter_row.select("id", "item_id").union(shorter_item.select("id", "item_id")).distinct()
+    at = pairs.join(a, "id").join(b, "item_id")
+    scored = at.select("id", "item_id", (F.size(F.array_intersect("w", "v")) / F.least(F.size("w"), F.size("v"))).alias("overlap")).filter(F.col("overlap") >= least)
     best = scored.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("item_id")).alias("neg"))).alias("m"))
     return best.select("id", (-F.col("m.neg")).alias("item_id"), F.round("m.overlap", 6).alias("overlap"))
 

@@ -1,38 +1,111 @@
-"""Data-quality checks as DataFrames, their prevalence, surprise and score."""
+"""Data-quality checks as DataFrames, their status, prevalence, surprise and score.
+
+A check is a rule on a document's columns that gives a count; all of them are evaluated in one pass over the documents. What must be seen across documents
+(copies) takes a second scan, from which only ids and keys are shuffled. A document that lacks what a check needs is skipped by it, which is not the same as clean; a
+rule that can't be built is reported as failed, and the others run.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.scores import band, quality_score, surprise
 from foliant.functions.text import EMAIL, IPV4, collapse
 from foliant.operators.dedup import exact_duplicates
-from foliant.operators.segment import lines
 
-# Severity and minutes to put right, by check.
-MINUTES = {"duplicate_records": 1.0, "repeated_lines": 0.5, "protected_data": 2.0, "shouting": 0.5, "short_record": 0.25}
 
+@dataclass(frozen=True)
+class Check:
+    """rule: columns to a count. needs: columns that must not be null. minutes: to put one finding right."""
+
+    severity: str
+    minutes: float
+    rule: Callable[[Column], Column]
+    needs: tuple[str, ...] = ("text",)
+
+
+def count_of(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: F.regexp_count(text, F.lit(pattern))
+
+
+def shouting(text: Column) -> Column:
+    letters, upper = F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.length(F.regexp_replace(text, "[^A-Z]", ""))
+    return F.when((letters >= 20) & (upper * 2 > letters), 1).otherwise(0)
+
+
+def repeated(text: Column) -> Column:
+    """Lines that have an equal after collapsing: in the sorted array they stand beside it."""
+    s = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), collapse), lambda x: x != ""))
+    n = F.size(s)
+    alone = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.coalesce(F.get(s, i - 1) == F.get(s, i - 2), F.lit(False)) & ~F.coalesce(F.get(s, i - 1) == F.get(s, i), F.lit(False)))
+    return F.when(n > 0, n - F.size(alone)).otherwise(0)
 
-def finding(rows: DataFrame, lint: str, severity: str) -> DataFrame:
-    return rows.select("doc_id", F.lit(lint).alias("lint"), F.lit(severity).alias("severity"), F.col("n").cast("long").alias("n"))
+
+# Severity, minutes to put right, and what tells a finding.
+CHECKS: dict[str, Check] = {
+    "repeated_lines": Check("WARN", 0.5, repeated),
+    "protected_data": Check("ERROR", 2.0, lambda t: F.regexp_count(t, F.lit(EMAIL)) + F.regexp_count(t, F.lit(IPV4))),
+    "shouting": Check("WARN", 0.5, shouting),
+    "short_record": Check("INFO", 0.25, lambda t: F.when(F.length(t) < 80, 1).otherwise(0)),
+    "date_only_lines": Check("WARN", 0.5, count_of(r"(?m)^ *(?:[0-9]{1,2}/)?(?:19|20)[0-9]{2} *(?:[-–] *(?:(?:19|20)[0-9]{2}|[Pp]resent) *)?$")),
+    "pipe_leaks": Check("WARN", 0.5, count_of(r"(?m)^.*[|].*[|].*$")),
+    "output_hygiene": Check("WARN", 0.5, count_of(r"\[[A-Z][0-9]{0,2}[A-Z]?\]")),
+    "python_repr_in_output": Check("WARN", 1.0, count_of(r"\{'[A-Za-z_]+': |\['")),
+    "llm_refusal_in_output": Check("WARN", 2.0, count_of(r"(?i)as an ai |i cannot (?:help|assist)|please provide (?:the|more)")),
+    "glyph_field": Check("WARN", 0.25, count_of(r"(?m)^[^A-Za-z0-9\s\x80-\x{10FFFF}]{1,3}$")),
+    "footer_in_record": Check("WARN", 0.25, count_of(r"(?i)\bpage [0-9]+(?: of [0-9]+)?\b")),
+    "etal_added": Check("WARN", 0.5, count_of(r"\bet al\.")),
+    "implausible_year": Check("WARN", 0.5, count_of(r"\b(?:1[0-8][0-9]{2}|20[4-9][0-9]|2[1-9][0-9]{2})\b")),
+    "journal_name_joined": Check("WARN", 0.5, count_of("\t")),
+    "shattered_prose": Check("WARN", 1.0, count_of("[a-z]\n[a-z]")),
+    "header_consumed_record": Check("WARN", 1.0, count_of(r"(?m)^[A-Z][A-Z ]{3,40}: [^ ]")),
+    "open_end_unsupported": Check("WARN", 0.5, count_of("-Present")),
+    "appointment_title_overlong": Check("INFO", 0.25, count_of("(?m)^.{301}")),
+    "pubmed_title_truncated": Check("INFO", 0.25, lambda t: F.when(t.rlike("[A-Za-z]\\s*\\z"), 1).otherwise(0)),
+    "segmentation_collapse": Check("INFO", 1.0, lambda t: F.when((F.length(t) > 2000) & ~t.contains("\n"), 1).otherwise(0)),
+    "licence_line": Check("INFO", 0.25, count_of("(?i)licen[cs]e")),
+    "bucket_status": Check("INFO", 0.25, count_of(r"(?i)\bstatus: *(?:pending|submitted)")),
+}
+ACROSS = {"duplicate_records": ("WARN", 1.0)}
+MINUTES = {k: m for k, (_, m) in ACROSS.items()} | {k: c.minutes for k, c in CHECKS.items()}
+
+
+def one_pass(docs: DataFrame, checks: dict[str, Check] = CHECKS) -> tuple[DataFrame, dict[str, str]]:
+    """doc_id and an array of (lint, severity, n, ran) of all checks; and what kept a check from being built."""
+    rows, failed = [], {}
+    for name, c in checks.items():
+        try:
+            ok = F.lit(True)
+            for need in c.needs:
+                ok = ok & (F.col(need).isNotNull() if need in docs.columns else F.lit(False))
+            n = c.rule(F.col("text")) if all(x in docs.columns for x in c.needs) else F.lit(0)
+            docs.select(n)  # what can't be analysed fails here
+        except Exception as e:  # noqa: BLE001 - the boundary between checks
+            failed[name] = type(e).__name__
+            continue
+        rows.append(F.struct(F.lit(name).alias("lint"), F.lit(c.severity).alias("severity"), F.when(ok, n).otherwise(0).cast("long").alias("n"), ok.alias("ran")))
+    return docs.select("doc_id", F.array(*rows).alias("all")), failed
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, lint, severity, n: a row for each document and check that fires."""
-    counts = lambda p: F.regexp_count("text", F.lit(p))
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
-    upper = F.length(F.regexp_replace("text", "[^A-Z]", ""))
-    parts = [
-        finding(exact_duplicates(docs).withColumn("n", F.lit(1)), "duplicate_records", "WARN"),
-        finding(lines(docs).filter(collapse(F.col("line")) != "").groupBy("doc_id", collapse(F.col("line")).alias("k")).count().filter("count > 1").groupBy("doc_id").agg(F.sum("count").alias("n")), "repeated_lines", "WARN"),
-        finding(docs.select("doc_id", (counts(EMAIL) + counts(IPV4)).alias("n")).filter("n > 0"), "protected_data", "ERROR"),
-        finding(docs.filter((letters >= 20) & (upper * 2 > letters)).withColumn("n", F.lit(1)), "shouting", "WARN"),
-        finding(docs.filter(F.length("text") < 80).withColumn("n", F.lit(1)), "short_record", "INFO"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    each = one_pass(docs)[0].select("doc_id", F.explode(F.filter("all", lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.lint", "x.severity", "x.n")
+    copies = exact_duplicates(docs).select("doc_id", F.lit("duplicate_records").alias("lint"), F.lit(ACROSS["duplicate_records"][0]).alias("severity"), F.lit(1).cast("long").alias("n"))
+    return each.unionByName(copies)
+
+
+def status(docs: DataFrame, checks: dict[str, Check] = CHECKS) -> DataFrame:
+    """lint, status, docs: how many documents each check ran on, skipped, and which checks failed as a whole."""
+    at, failed = one_pass(docs, checks)
+    out = at.select(F.explode("all").alias("x")).groupBy("x.lint", F.when(F.col("x.ran"), "ran").otherwise("skipped").alias("status")).agg(F.count(F.lit(1)).alias("docs"))
+    if failed:
+        rows = F.explode(F.array(*(F.struct(F.lit(k).alias("lint"), F.lit(f"failed: {v}").alias("status"), F.lit(0).cast("long").alias("docs")) for k, v in failed.items())))
+        out = out.unionByName(docs.sparkSession.range(1).select(rows.alias("x")).select("x.*"))
+    return out
 
 
 def prevalence(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -43,14 +116,18 @@ def prevalence(found: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("lint", "docs", "hits", F.round("share", 6).alias("share"), F.round(surprise(F.col("share")), 6).alias("surprise"))
 
 
+def price() -> Column:
+    """Minutes of a finding's lint."""
+    return F.create_map(*(x for k, v in MINUTES.items() for x in (F.lit(k), F.lit(v))))[F.col("lint")]
+
+
 def scores(docs: DataFrame) -> DataFrame:
-    """Per source: minutes to clean up against minutes by hand, score and band."""
-    price = F.lit(0.0)
-    for lint, minutes in MINUTES.items():
-        price = F.when(F.col("lint") == lint, minutes).otherwise(price)
-    cost = findings(docs).filter("severity <> 'INFO'").select("doc_id", (0.5 * price).alias("minutes"), (F.col("lint") == "protected_data").alias("leak"))
+    """Per source: minutes to clean up against minutes by hand, score and band. Findings of a check without a measured precision count half."""
+    cost = findings(docs).filter("severity <> 'INFO'").select("doc_id", (0.5 * price()).alias("minutes"), (F.col("lint") == "protected_data").alias("leak"))
     per_doc = cost.groupBy("doc_id").agg(F.sum("minutes").alias("minutes"), F.max("leak").alias("leak"))
-    joined = docs.select("doc_id", "source").join(per_doc, "doc_id", "left")
-    out = joined.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"), F.coalesce(F.count_if("leak"), F.lit(0)).alias("leaks"))
-    score = quality_score(F.col("minutes"), F.col("n").cast("double"), F.when(F.col("leaks") * 20 > F.col("n"), 25.0).otherwise(100.0))
+    joined = docs.select("doc_id", "source", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty")).join(per_doc, "doc_id", "left")
+    out = joined.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"), F.coalesce(F.count_if("leak"), F.lit(0)).alias("leaks"), F.count_if("empty").alias("empty"))
+    # Caps for no output, protected data and unchecked results
+    cap = F.least(F.when(F.col("empty") == F.col("n"), 20.0).otherwise(100.0), F.when(F.col("leaks") * 20 > F.col("n"), 25.0).otherwise(100.0), F.when(F.col("n") < 2, 84.0).otherwise(100.0))
+    score = quality_score(F.col("minutes"), F.col("n").cast("double"), cap)
     return out.select("source", "n", "minutes", "leaks", score.alias("score"), band(score).alias("band"))

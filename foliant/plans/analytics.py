@@ -46,12 +46,20 @@ both("stage_avg", "SELECT l_linenumber AS step, round_even(avg(l_quantity), 1) A
      "SELECT l_linenumber AS step, bround(avg(l_quantity), 1) AS mean, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_linenumber")
 P95 = """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
   SELECT event_type, max(value) AS p95 FROM r WHERE k = {}(0.95 * (n - 1), 0) GROUP BY event_type"""
-both("p95_nearest_rank", P95.format("round_even"), P95.format("bround"))
+# Spark ranks distinct values by their counts, so rows aren't sorted
+P95_COUNTS = """WITH c AS (SELECT event_type, value, count(*) AS k FROM events WHERE value IS NOT NULL GROUP BY event_type, value),
+  s AS (SELECT event_type, value, sum(k) OVER (PARTITION BY event_type ORDER BY value) AS upto, sum(k) OVER (PARTITION BY event_type) AS n FROM c)
+  SELECT event_type, min(value) AS p95 FROM s WHERE upto - 1 >= bround(0.95 * (n - 1), 0) GROUP BY event_type"""
+both("p95_nearest_rank", P95.format("round_even"), P95_COUNTS)
 both("recent_median", "SELECT median(o_totalprice) AS median_cost FROM (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)")
 both("queue_eta", """WITH m AS (SELECT median(o_totalprice) AS s FROM (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)),
-  q AS (SELECT count(*) AS waiting FROM orders WHERE o_orderstatus = 'P') SELECT waiting, CAST(ceil(waiting * (SELECT s FROM m) / 8 / 60) AS BIGINT) AS minutes FROM q""")
+  q AS (SELECT o_orderpriority AS lane, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS waiting, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS running, CASE WHEN o_orderpriority LIKE '5%' THEN 0 ELSE 8 END AS workers FROM orders GROUP BY o_orderpriority)
+  SELECT lane, waiting, running, CAST(ceil((waiting + running) * (SELECT s FROM m) / nullif(workers, 0) / 60) AS BIGINT) AS minutes FROM q""")
 both("page_2_of_runs", "SELECT o_orderkey, o_orderdate, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 25")
-both("queue_position", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN rank() OVER (PARTITION BY CASE WHEN o_orderstatus = 'P' THEN 1 END, o_orderpriority ORDER BY o_orderdate) END AS place FROM orders""")
+both("queue_position", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN rank() OVER (PARTITION BY CASE WHEN o_orderstatus = 'P' THEN 1 END, o_orderpriority ORDER BY o_orderdate) END AS place FROM orders""",
+     """WITH c AS (SELECT o_orderpriority AS p, o_orderdate AS d, count(*) AS k FROM orders WHERE o_orderstatus = 'P' GROUP BY o_orderpriority, o_orderdate),
+  s AS (SELECT p, d, sum(k) OVER (PARTITION BY p ORDER BY d) - k + 1 AS place FROM c)
+  SELECT o_orderkey, place FROM orders LEFT JOIN s ON o_orderstatus = 'P' AND p = o_orderpriority AND d = o_orderdate""")
 both("daily_quota_et", """SELECT user_id, date_trunc('day', timezone('America/New_York', timezone('UTC', ts))) AS local_day, count(*) AS used, count(*) > 3 AS blocked FROM events GROUP BY 1, 2""",
      """SELECT user_id, CAST(date_trunc('DAY', from_utc_timestamp(CAST(ts AS TIMESTAMP), 'America/New_York')) AS TIMESTAMP_NTZ) AS local_day, count(*) AS used, count(*) > 3 AS blocked FROM events GROUP BY 1, 2""")
 both("monthly_quota_et", """SELECT user_id, date_trunc('month', timezone('America/New_York', timezone('UTC', ts))) AS local_month, count(*) AS used FROM events GROUP BY 1, 2""",
@@ -65,7 +73,9 @@ both("batch_completion", "SELECT l_orderkey, count(*) AS steps, min(CASE WHEN l_
 both("correlation", "SELECT event_type, CASE WHEN stddev_pop(value) > 0 THEN round(corr(value, user_id), 2) END AS pearson, count(*) AS n FROM events GROUP BY event_type")
 both("cost_with_price_dimension", """WITH price AS (SELECT p_partkey, p_retailprice / 1000000 AS rate FROM part) SELECT l_returnflag, round(sum(l_quantity * rate + l_quantity * rate * 0.1), 8) AS cost FROM lineitem LEFT JOIN price ON p_partkey = l_partkey GROUP BY l_returnflag""")
 both("stale_runs", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
-both("duration_estimate", "SELECT doc_id, CAST(greatest(n_chars, 1000) AS BIGINT) AS chars, CAST(floor(greatest(n_chars, 1000) / 4) AS BIGINT) AS tokens, CAST(floor(floor(greatest(n_chars, 1000) / 4) * 480 / 3500 * 0.6) AS BIGINT) AS low_s, CAST(floor(floor(greatest(n_chars, 1000) / 4) * 480 / 3500 * 1.3) AS BIGINT) AS high_s FROM documents")
+DURATION = """SELECT doc_id, tokens, low_s, greatest(CAST(floor(tokens * 480 / 3500 * 1.3) AS BIGINT), low_s + 30) AS high_s FROM (
+  SELECT doc_id, tokens, greatest(CAST(floor(tokens * 480 / 3500 * 0.6) AS BIGINT), 30) AS low_s FROM (SELECT doc_id, CAST(floor(greatest(n_chars, 1000) / 4) AS BIGINT) AS tokens FROM documents))"""
+both("duration_estimate", DURATION)
 both("id_priority_join", """SELECT event_id, CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN p.p_partkey IS NOT NULL THEN 'part' ELSE 'none' END AS route, coalesce(c.c_name, CAST(s.s_suppkey AS VARCHAR), p.p_name) AS name
   FROM events LEFT JOIN customer c ON c.c_custkey = user_id + 1450 LEFT JOIN supplier s ON s.s_suppkey = user_id LEFT JOIN part p ON p.p_partkey = user_id""",
      """SELECT event_id, CASE WHEN c.c_custkey IS NOT NULL THEN 'customer' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN p.p_partkey IS NOT NULL THEN 'part' ELSE 'none' END AS route, coalesce(c.c_name, CAST(s.s_suppkey AS STRING), p.p_name) AS name

@@ -217,12 +217,21 @@ def fragment_parent(spark, d):
     return at.filter("frag").select("doc_id", "idx", "up", "down", parent.alias("parent"))
 
 
+_n = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+_one = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
+LETTERS, UPPER = "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))", "length(regexp_replace(text, '[^A-Z]', '', 'g'))"
+CHECK_SQL = (
+    ("protected_data", "ERROR", f"len(regexp_extract_all(text, '{T.EMAIL}')) + len(regexp_extract_all(text, '{T.IPV4}'))"), ("shouting", "WARN", _one(f"{LETTERS} >= 20 AND {UPPER} * 2 > {LETTERS}")), ("short_record", "INFO", _one("length(text) < 80")),
+    ("date_only_lines", "WARN", _n(r"(?m)^ *(?:[0-9]{1,2}/)?(?:19|20)[0-9]{2} *(?:[-–] *(?:(?:19|20)[0-9]{2}|[Pp]resent) *)?$")), ("pipe_leaks", "WARN", _n("(?m)^.*[|].*[|].*$")), ("output_hygiene", "WARN", _n(r"\[[A-Z][0-9]{0,2}[A-Z]?\]")),
+    ("python_repr_in_output", "WARN", _n(r"\{''[A-Za-z_]+'': |\[''")), ("llm_refusal_in_output", "WARN", _n("(?i)as an ai |i cannot (?:help|assist)|please provide (?:the|more)")), ("glyph_field", "WARN", _n(r"(?m)^[^A-Za-z0-9\s\x80-\x{10FFFF}]{1,3}$")),
+    ("footer_in_record", "WARN", _n(r"(?i)\bpage [0-9]+(?: of [0-9]+)?\b")), ("etal_added", "WARN", _n(r"\bet al\.")), ("implausible_year", "WARN", _n(r"\b(?:1[0-8][0-9]{2}|20[4-9][0-9]|2[1-9][0-9]{2})\b")), ("journal_name_joined", "WARN", _n(r"\t")),
+    ("shattered_prose", "WARN", _n(r"[a-z]\n[a-z]")), ("header_consumed_record", "WARN", _n("(?m)^[A-Z][A-Z ]{3,40}: [^ ]")), ("open_end_unsupported", "WARN", _n("-Present")), ("appointment_title_overlong", "INFO", _n("(?m)^.{301}")),
+    ("pubmed_title_truncated", "INFO", _one(r"regexp_matches(text, '[A-Za-z]\s*\z')")), ("segmentation_collapse", "INFO", _one("length(text) > 2000 AND NOT contains(text, chr(10))")), ("licence_line", "INFO", _n("(?i)licen[cs]e")), ("bucket_status", "INFO", _n(r"(?i)\bstatus: *(?:pending|submitted)")),
+)
 FINDINGS = f"""
 SELECT doc_id, 'duplicate_records' AS lint, 'WARN' AS severity, 1::BIGINT AS n FROM ({ORACLE['exact_dup_docs']})
 UNION ALL SELECT doc_id, 'repeated_lines', 'WARN', sum(n)::BIGINT FROM ({ORACLE['noise_filter']}) WHERE n > 1 GROUP BY doc_id
-UNION ALL SELECT doc_id, 'protected_data', 'ERROR', n FROM (SELECT doc_id, len(regexp_extract_all(text, '{T.EMAIL}')) + len(regexp_extract_all(text, '{T.IPV4}')) AS n FROM documents) WHERE n > 0
-UNION ALL SELECT doc_id, 'shouting', 'WARN', 1 FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 20 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 > length(regexp_replace(text, '[^A-Za-z]', '', 'g'))
-UNION ALL SELECT doc_id, 'short_record', 'INFO', 1 FROM documents WHERE length(text) < 80"""
+UNION ALL """ + "\nUNION ALL ".join(f"SELECT doc_id, '{k}', '{s}', n::BIGINT FROM (SELECT doc_id, {e} AS n FROM documents) WHERE n > 0" for k, s, e in CHECK_SQL)
 
 
 @query(FINDINGS)
@@ -247,20 +256,17 @@ def lint_surprise_rank(spark, d):
     return lint_prevalence(spark, d).select("lint", F.row_number().over(Window.orderBy(F.desc("surprise"), F.desc("docs"), "lint")).cast("long").alias("place"))
 
 
-PRICE = "CASE lint " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lints.MINUTES.items()) + " END"
+PRICE = "CASE WHEN lint = 'protected_data' OR lint = 'llm_refusal_in_output' THEN 2.0 WHEN lint IN ('duplicate_records', 'python_repr_in_output', 'shattered_prose', 'header_consumed_record', 'segmentation_collapse') THEN 1.0 WHEN lint IN ('short_record', 'glyph_field', 'footer_in_record', 'appointment_title_overlong', 'pubmed_title_truncated', 'licence_line', 'bucket_status') THEN 0.25 ELSE 0.5 END"
 
 
 @query(f"SELECT lint, sum(0.5 * ({PRICE})) AS minutes, count(*) AS docs FROM ({FINDINGS}) WHERE severity <> 'INFO' GROUP BY lint")
 def cleanup_minutes(spark, d):
-    price = F.lit(0.0)
-    for k, v in lints.MINUTES.items():
-        price = F.when(F.col("lint") == k, v).otherwise(price)
-    return lints.findings(table(spark, d, "documents")).filter("severity <> 'INFO'").groupBy("lint").agg(F.sum(0.5 * price).alias("minutes"), F.count(F.lit(1)).alias("docs"))
+    return lints.findings(table(spark, d, "documents")).filter("severity <> 'INFO'").groupBy("lint").agg(F.sum(0.5 * lints.price()).alias("minutes"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, sum(0.5 * ({PRICE})) AS minutes, bool_or(lint = 'protected_data') AS leak FROM ({FINDINGS}) WHERE severity <> 'INFO' GROUP BY doc_id),
-s AS (SELECT source, count(*) AS n, coalesce(sum(minutes), 0.0) AS minutes, count(*) FILTER (leak) AS leaks FROM documents LEFT JOIN c USING (doc_id) GROUP BY source),
-q AS (SELECT *, round_even(greatest(0.0, least(100 - 40 * (minutes::DOUBLE / n) / (minutes::DOUBLE / n + 0.02 * (40 - 15) / 15), CASE WHEN leaks * 20 > n THEN 25.0 ELSE 100.0 END)), 0) AS score FROM s)
+s AS (SELECT source, count(*) AS n, coalesce(sum(minutes), 0.0) AS minutes, count(*) FILTER (leak) AS leaks, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty FROM documents LEFT JOIN c USING (doc_id) GROUP BY source),
+q AS (SELECT *, round_even(greatest(0.0, least(100 - 40 * (minutes::DOUBLE / n) / (minutes::DOUBLE / n + 0.02 * (40 - 15) / 15), CASE WHEN empty = n THEN 20.0 ELSE 100.0 END, CASE WHEN leaks * 20 > n THEN 25.0 ELSE 100.0 END, CASE WHEN n < 2 THEN 84.0 ELSE 100.0 END)), 0) AS score FROM s)
 SELECT source, n, minutes, leaks, score, CASE WHEN score >= 85 THEN 'green' WHEN score >= 60 THEN 'yellow' ELSE 'red' END AS band FROM q""")
 def quality_band(spark, d):
     return lints.scores(table(spark, d, "documents"))
@@ -281,3 +287,9 @@ def doctor_compare(spark, d):
     side = lambda k, name: f.filter(F.col("doc_id") % 2 == k).groupBy("lint", "n").agg(F.count(F.lit(1)).alias(name))
     both = side(0, "a").join(side(1, "b"), ["lint", "n"], "full").na.fill(0, ["a", "b"])
     return both.groupBy("lint").agg(F.sum("a").alias("delivered"), F.sum("b").alias("corrected"), F.sum(F.least("a", "b")).alias("persisting"))
+
+
+@query("SELECT lint, status, count(*) AS docs FROM (SELECT unnest(["+ ", ".join(f"'{k}'" for k, _, _ in (("repeated_lines", "", ""), *CHECK_SQL)) + "]) AS lint, CASE WHEN text IS NULL THEN 'skipped' ELSE 'ran' END AS status FROM documents) GROUP BY ALL")
+def lint_status(spark, d):
+    """Documents that each check ran on, and those that it had to skip."""
+    return lints.status(table(spark, d, "documents"))
