@@ -44,7 +44,7 @@ from foliant.llm.common import doc_rows, map_rows, raw_texts
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Texts of these need no composition.
 PLAIN = re.compile("[\x00-˿]*\\Z")
-CACHE = 150_000
+CACHE = 300_000
 #: Longer chunks aren't kept in the cache.
 LONGEST = 64
 #: Words up to so many bytes go through their windows side by side; at most the lookahead.
