@@ -16,9 +16,12 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc, idx, text) twice to (doc, change, before_idx, after_idx, text): equal, deleted, added and moved blocks. The order decides, so a document is aligned as a
     whole, in one task; documents are the unit. A deleted block is moved if an added one is much like it; the best goes first, and each is used once."""
 
+    def side(frame: pd.DataFrame) -> tuple[list, list]:
+        at = sorted((r["idx"], r["text"]) for r in frame["r"]) if len(frame) else []
+        return [i for i, _ in at], [t for _, t in at]
+
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        # the columns by place: a side without rows may come without names
-        (i_of, x), (j_of, y) = (([], []) if not len(s) else map(list, zip(*sorted(zip(s.iloc[:, 1], s.iloc[:, 2], strict=True)), strict=True)) for s in (a, b))
+        (i_of, x), (j_of, y) = (side(frame) for frame in (a, b))
         rows, gone, came = [], [], []
         for op, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
             if op == "equal":
@@ -39,8 +42,8 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
         return out
 
     schema = "doc long, change string, before_idx long, after_idx long, text string"
-    sides = (x.select("doc", "idx", "text") for x in (before, after))
-    first, second = (x.groupBy("doc") for x in sides)
+    # names of their own on either side, and one column for the block: both may come from one table
+    first, second = (x.select(F.col("doc").alias(f"doc_{k}"), F.struct(F.col("idx").cast("long").alias("idx"), "text").alias("r")).groupBy(f"doc_{k}") for k, x in enumerate((before, after)))
     return first.cogroup(second).applyInPandas(run, schema)
 
 

@@ -245,3 +245,23 @@ def test_a_prefix_of_a_longer_name_is_no_match(spark):
     paths = spark.createDataFrame([("d/web050_stage4.json",), ("d/web05_stage4.json",), ("d/web05-stage4b.json",)], "path string")
     got = files.resolve(paths.withColumn("uid", lit("web05")), F.col("uid"), "stage4").collect()
     assert [(r.uid, r.path) for r in got] == [("web05", "d/web05-stage4b.json")]
+
+
+def test_blocks_stay_go_come_and_move(spark):
+    from foliant.operators import alignment
+
+    rows = lambda *docs: spark.createDataFrame([(d, i, t) for d, texts in docs for i, t in enumerate(texts)], "doc long, idx long, text string")
+    before = rows((1, ["a first long line", "b stays", "c goes away", "d stays"]), (2, ["only before"]))
+    after = rows((1, ["b stays", "d stays", "a first long lime", "new"]), (3, ["only after"]))
+    got = {(r.doc, r.change, r.before_idx, r.after_idx) for r in alignment.aligned(before, after).collect()}
+    assert got == {(1, "moved", 0, 2), (1, "equal", 1, 0), (1, "deleted", 2, None), (1, "equal", 3, 1), (1, "added", None, 3), (2, "deleted", 0, None), (3, "added", None, 0)}
+
+
+def test_kinds_of_lines(spark):
+    from foliant.functions import lines
+
+    rows = {"Page 3 of 12": "furniture", "Employer Role Title Start Dates": "columns", "PUBLICATIONS": "caps", "3/2020 Example State Clinical Practice Permit": "content", "Example Regional Hospital": "", "KEY: † indicates a trainee": "furniture", "She has long been working towards better methods": "content prose", "x" * 40 + " | " + "y" * 40: "record"}
+    t = F.col("t")
+    no = F.lit(False)
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select(t, lines.is_furniture(t).alias("furniture"), lines.is_column_header(t).alias("columns"), lines.is_caps_heading(t).alias("caps"), lines.is_content(t, no).alias("content"), lines.is_record(t).alias("record"), lines.is_prose(t).alias("prose")).collect()
+    assert {r.t: " ".join(k for k in ("furniture", "columns", "caps", "content", "record", "prose") if r[k]) for r in got} == rows
