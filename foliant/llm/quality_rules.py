@@ -4,8 +4,8 @@ The rules count; the model judges what they pass. Its inputs are shares of hashe
 text, square-rooted and scaled to length one in either family. It is trained with full-batch steps on at most ``sample`` labelled documents,
 of which every fifth is set aside to calibrate the probability (Platt). Documents are scored in Arrow batches against a fixed threshold.
 
-Defined results. Null texts have no words, and fail. Without labels of both classes the model passes all. Repeated rows give a row each; an empty table
-none. Other columns are ignored.
+Defined results. Null texts have no words, and fail. Very long texts are read whole, one at a time. Without labels of both classes the model passes all; of a label that stands twice the larger counts; a
+probability that equals the threshold keeps. Repeated rows give a row each; an empty table none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

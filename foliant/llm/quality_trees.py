@@ -5,7 +5,8 @@ most of either class); the statistics are computed on the executors. All trees a
 children 2 i + 1 and 2 i + 2; a leaf's place follows from its path, so that a batch goes down all trees level by level.
 
 Defined results. Null and empty texts have zero statistics and a score like any. Without labels of both classes the score is the share of
-label 1, or 0.5. Null doc_ids aren't held out. Repeated rows give a row each; an empty table none. Other columns are ignored.
+label 1, or 0.5. Null doc_ids aren't held out. Very long texts are read whole, one at a time. Of splits with equal gains the first statistic's lowest limit is taken; of a label that stands twice
+the larger. Repeated rows give a row each; an empty table none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

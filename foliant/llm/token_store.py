@@ -13,7 +13,7 @@ Documents are dealt into ranges of doc_id; each task sorts its range and writes
 depend on the place in the order alone and files are moved into place when complete, so a repeated task writes the same.
 
 Defined results. Null texts are empty: only the end id. Null doc_ids come first. Repeated rows are documents of their own, in the order of their
-texts. An empty table gives no files and no rows. Other columns are ignored.
+texts; equal rows in any order. A very long text is one document of one file, however many ids it has. An empty table gives no files and no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
