@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents. Each is written
 as Parquet before the next reads it, so that a lost executor costs no earlier stage.
+
+Defined results, of every stage: an empty table gives an empty one; further columns are kept as they are, whatever their names; very long texts are read whole. Null and empty texts stay to the end, where
+they have no ids: they aren't toxic, have no lines and no shingles, and hold no benchmark. Repeated rows are judged alike by toxicity, lines and benchmark; near-dedup keeps one of those that have words and a doc_id.
+Ties: the first occurrence of a line is that of the least doc_id, and the smallest doc_id of a group of copies stays.
 """
 
 from __future__ import annotations
