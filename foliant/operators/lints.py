@@ -38,11 +38,16 @@ def shouting(text: Column) -> Column:
 
 
 def repeated(text: Column) -> Column:
-    """Lines that have an equal after collapsing: in the sorted array they stand beside it."""
+    """Lines that have an equal after collapsing: one fold over the sorted lines, in which equal ones stand together."""
     s = F.array_sort(F.filter(F.transform(F.split(text, "\n", -1), collapse), lambda x: x != ""))
-    n = F.size(s)
-    alone = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.coalesce(F.get(s, i - 1) == F.get(s, i - 2), F.lit(False)) & ~F.coalesce(F.get(s, i - 1) == F.get(s, i), F.lit(False)))
-    return F.when(n > 0, n - F.size(alone)).otherwise(0)
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.coalesce(a["last"] == x, F.lit(False))
+        more = F.when(same, F.when(a["run"] == 1, 2).otherwise(1)).otherwise(0)
+        return F.struct(x.alias("last"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), (a["total"] + more).alias("total"))
+
+    return F.aggregate(s, start, step, lambda a: a["total"])
 
 
 # Severity, minutes to put right, and what tells a finding.
