@@ -18,7 +18,7 @@ def exact_duplicates(docs: DataFrame, salts: int = 16) -> DataFrame:
     # a text without any letter is like no other; neither column can be null, so that no filter on them is pushed to one side of the join alone
     key = F.coalesce(F.when(letters == "", F.concat(F.lit("#"), F.col("doc_id").cast("string"))).otherwise(F.sha2(letters, 256)), F.lit(""))
     salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), F.lit(0))
-    dealt = docs.filter(F.length("text") >= LEAST_CHARS).select("doc_id", key.alias("key"), salt.alias("salt")).repartition("key", "salt")
+    dealt = docs.filter((F.length("text") >= LEAST_CHARS) & F.col("doc_id").isNotNull()).select("doc_id", key.alias("key"), salt.alias("salt")).repartition("key", "salt")
     first = dealt.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     many = first.select("key", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return dealt.join(many, ["key", "salt"]).filter("doc_id <> first_id").select("doc_id", "first_id")
