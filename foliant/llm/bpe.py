@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import doc_rows, map_rows, raw_texts
+from foliant.llm.common import doc_rows, held, map_rows, raw_texts
 
 #: Unicode white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -473,13 +473,8 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
-LOADED: dict[str, Encoder] = {}
-
-
 def loaded(path: str) -> Encoder:
-    if path not in LOADED:
-        LOADED[path] = Encoder(Merges(path))
-    return LOADED[path]
+    return held(("bpe", path), lambda: Encoder(Merges(path)))
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:

@@ -75,6 +75,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+HELD: dict = {}
+
+
+def held(key: object, build: Callable[[], object] | None = None) -> object:
+    """One large object a worker process, the one that was asked for last: workers go on from one operator to the next, and must not keep what the one before built.
+    Without a builder nothing is kept."""
+    if build is None:
+        HELD.clear()
+        return None
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = build()
+    return HELD[key]
+
+
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """fn is called once for a task and gives the function that turns one Arrow batch into another."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, doc_rows, map_rows, raw_texts
+from foliant.llm.common import cut, doc_rows, held, map_rows, raw_texts
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Bytes to what splitting sees: words in lower case, all else a space.
@@ -184,17 +184,10 @@ class SuffixAutomaton:
         return spans, items, longest
 
 
-BUILT: dict = {}
-
-
 def automaton(shared, window: int) -> SuffixAutomaton:
     """Built once in a worker for each block; only the latest is kept."""
     name, items = shared.value
-    key = (name, window)
-    if key not in BUILT:
-        BUILT.clear()
-        BUILT[key] = SuffixAutomaton(items, window)
-    return BUILT[key]
+    return held(("automaton", name, window), lambda: SuffixAutomaton(items, window))
 
 
 def blocks(benchmark: DataFrame, cfg: Leaks) -> list[list[tuple[str | None, bytes]]]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, cut, doc_rows, map_rows, mix64, raw_texts
+from foliant.llm.common import Scratch, cut, doc_rows, held, map_rows, mix64, raw_texts
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,7 @@ def digest(values: np.ndarray) -> tuple[int, int]:
 
 def sketcher(cfg: NearDup):
     def start():
+        held(None)
         known, count = Words(), 2 * cfg.groups * cfg.width
         rng = np.random.default_rng(cfg.seed)
         times = rng.integers(0, 2**64, count, np.uint64) | np.uint64(1)
@@ -144,6 +145,7 @@ def set_reader(words: int):
     number of the items falls into bucket i, so that two sets differ in at least as many items as their parities in bits."""
 
     def start():
+        held(None)
         known = Words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

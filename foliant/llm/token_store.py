@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from foliant.llm.bpe import byte_symbols
-from foliant.llm.common import doc_rows, texts
+from foliant.llm.common import doc_rows, held, texts
 
 MAGIC = b"FOLTOK1\0"
 SAMPLE = 256
@@ -208,16 +208,11 @@ class LibraryEncoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-LOADED: dict[str, LibraryEncoder] = {}
-
-
 def loaded(path: str) -> LibraryEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if path not in LOADED:
-        LOADED[path] = LibraryEncoder(path)
-    return LOADED[path]
+    return held(("tokens", path), lambda: LibraryEncoder(path))
 
 
 @dataclass(frozen=True)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import doc_rows, is_held_out, labelled_sample, map_rows, raw, raw_texts
+from foliant.llm.common import doc_rows, held, is_held_out, labelled_sample, map_rows, raw, raw_texts
 from foliant.llm.decontaminate import words_of
 
 CACHE = 100_000  # words whose gate inputs a worker keeps
-AT_ONCE = 2048  # windows
+AT_ONCE = 512  # windows
 
 
 @dataclass(frozen=True)
@@ -319,8 +319,8 @@ class Scorer:
                 more = np.zeros((max(base + len(fresh), 2 * len(self.gates)), *self.gates.shape[1:]), np.float32)
                 more[:base] = self.gates[:base]
                 self.gates = more
-            for k in range(0, len(fresh), 20_000):
-                part = fresh[k : k + 20_000]
+            for k in range(0, len(fresh), 4_000):
+                part = fresh[k : k + 4_000]
                 row = np.fromiter((net.row.get(w, 0) for w in part), np.int64, len(part))
                 self.gates[base + k : base + k + len(part)] = net.project(net.vectors(*grams(part, net.cfg), row))
             self.rows.update(zip(fresh, range(base, base + len(fresh))))
@@ -371,6 +371,7 @@ def scores_of(spark: SparkSession, net: Net | None) -> Callable[[Column], Column
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(None)
         scorer = Scorer(shared.value) if shared.value else None
         for texts in batches:
             yield pa.array(scorer.score(raw(texts)) if scorer else [0.0] * len(texts), pa.float64())
@@ -383,6 +384,7 @@ def score_toxicity(rows: DataFrame, net: Net | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def start():
+        held(None)
         scorer = Scorer(shared.value) if shared.value else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
