@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from foliant.llm.common import shared_dir, table, write
+from foliant.llm.common import remove, shared_dir, table, write
 from foliant.llm.entries import TOKENIZERS
 
 
@@ -58,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the result is read back from its written table."""
+    """All stages over documents; the result is read back from its written table. A stage's table goes when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/foliant-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         write(out, f"{root}/{k}")
+        if k:
+            remove(spark, f"{root}/{k - 1}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
     return docs
