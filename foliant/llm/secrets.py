@@ -10,7 +10,8 @@ are reported:
 * ``enc``: a run that decodes to printable ASCII in which a base kind is found, at once or after decoding what is found inside, up to ``DEPTH`` layers.
 
 Candidates are the longest runs of the standard or the URL-safe alphabet of ``LEAST_RUN`` characters or more: what decodes to fewer than 12 bytes can hold no
-base kind (the shortest, ``token=`` and six characters, has 12) and no DER key. Base64 that is wrapped over lines without armour is joined where every line but the last has the same length of 64 or 76 characters.
+base kind (the shortest, ``token=`` and six characters, has 12) and no DER key. Base64 that is wrapped over lines without armour is joined where every line but
+the last has the same length of 64 or 76 characters; the last may be as long, or be left out.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no spans; repeated rows give a row each; an empty
 table none. Spans that begin together are ordered by kind, then end. Other columns, whatever their names, are ignored. Whole texts are read whatever their length, in time that grows with it: every pattern begins
@@ -23,6 +24,8 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,7 +50,9 @@ HEX_RUN = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{{2 * LEAST_RUN - 8},}}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 BEGIN, END = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----"), "-----END {}-----"
 HEADER = re.compile(r"(?m)^[A-Za-z-]{1,64}: .*$")
-WRAPPED = re.compile(r"(?:(?<=\n)|\A)(?:[A-Za-z0-9+/]{64}\r?\n|[A-Za-z0-9+/]{76}\r?\n)++[A-Za-z0-9+/]{1,76}={0,2}")
+#: A line that is full at one of the widths, and what may follow a run of such lines.
+FULL_LINE = re.compile(r"(?m)^(?:[A-Za-z0-9+/]{76}|[A-Za-z0-9+/]{64})(?=\r?$)")
+TAIL = re.compile(r"\r?\n([A-Za-z0-9+/]{1,76}={0,2})")
 PRINTABLE = re.compile(rb"[\t\n\r -~]{12,}\Z")
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\0"
@@ -164,6 +169,21 @@ def armoured(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def wrapped(text: str) -> Iterator[tuple[int, list[int]]]:
+    """Runs of full lines of one width: where each starts, and where it may end, with the shorter line after it first. Every line is read once."""
+    start = end = width = 0
+    for m in chain(FULL_LINE.finditer(text), (None,)):
+        if m and width == m.end() - m.start() and text[end : m.start()] in ("\n", "\r\n"):
+            end = m.end()
+            continue
+        if width:
+            tail = TAIL.match(text, end)
+            yield start, [tail.end(), end] if tail and len(tail[1]) <= width else [end]
+        if m:
+            start, end = m.span()
+            width = end - start
+
+
 def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
     out = armoured(text) if "-----BEGIN " in text else []
     if "eyJ" in text:
@@ -180,9 +200,11 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]
         if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]), depth)):
             out.append((m.start(), m.end(), kind))
     if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            if kind := decoded_kind(unbase64("".join(m[0].split())), depth):
-                out.append((m.start(), m.end(), kind))
+        for start, ends in wrapped(text):
+            for end in ends:
+                if kind := decoded_kind(unbase64("".join(text[start:end].split())), depth):
+                    out.append((start, end, kind))
+                    break
     return out
 
 

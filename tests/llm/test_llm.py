@@ -364,6 +364,31 @@ def test_scan_time_grows_with_the_text_alone():
         assert took[1] < 12 * took[0] + 0.2, unit
 
 
+def der(size):
+    """A DER sequence of three octet strings, of so many bytes in all."""
+    part = (size - 4) // 3
+    sizes = [part, part, size - 4 - 2 * part]
+    body = b"".join(b"\x04\x82" + (n - 4).to_bytes(2, "big") + b"\x7f" * (n - 4) for n in sizes)
+    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("full", [True, False])
+@pytest.mark.parametrize("after", ["", "\n", "\n\nx", "\nend", "\r\nend of it", " "])
+def test_wrapped_keys_are_found_whatever_follows(width, full, after):
+    import base64
+
+    size = width * 3 // 4 * 20 - (0 if full else 18)
+    run = base64.b64encode(der(size)).decode()
+    lines = [run[k : k + width] for k in range(0, len(run), width)]
+    assert (len(lines[-1]) == width) is full
+    for newline in ("\n", "\r\n"):
+        body = newline.join(lines)
+        for before in ("", "key\n", "one\n\n"):
+            spans = secrets.find_spans(before + body + after)
+            assert (len(before), len(before) + len(body), "der") in spans
+
+
 def test_secret_scan_rows(spark):
     rows = [(1, None), (2, ""), (None, "secret=abcdef"), (3, "x" * 50_000 + " api_key: abcdefgh"), (4, "token=abcdefg"), (4, "token=abcdefg")]
     found = secrets.digest(secrets.scan_secrets(docs(spark, rows))).collect()
@@ -391,6 +416,35 @@ def test_line_dedup(spark):
     assert [r.text.count("\n") for r in again if r.doc_id == 60] == [19_999] and None not in {r.doc_id for r in again}
 
 
+def test_line_dedup_takes_time_by_the_lines(spark):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        text = "\n".join(f"a boilerplate line of number {k}" for k in range(n))
+        frame = docs(spark, [(i, text, f"s{i}") for i in range(12)]).repartition(4)
+        began = time.time()
+        out = {r.doc_id: (r["__n_removed"], len(r.text)) for r in line_dedup.dedup_lines(frame).collect()}
+        took.append(time.time() - began)
+        assert out == {i: (n, 0) if i else (0, len(text)) for i in range(12)}
+    assert took[1] < 4.6 * took[0] + 1
+
+
+def test_automaton_takes_time_by_the_words():
+    import time
+
+    for unit in (b"a ", b"a b ", b"a a b "):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            found = decontaminate.SuffixAutomaton([("x", unit * n), ("y", b"a a a")], 10)
+            words = decontaminate.words_of(unit * n)
+            spans, _, longest = found.scan(words)
+            took.append(time.process_time() - began)
+            assert spans == [(0, len(words))] and longest == len(words)
+        assert took[1] < 4.6 * took[0] + 0.3, unit
+
+
 @pytest.mark.parametrize("sites", [8, 9, 10, 11, 12])
 def test_line_spread_near_the_threshold_is_exact(spark, sites):
     rows = [(i, "a line that many of the sites have", f"s{i % sites}") for i in range(40)]
