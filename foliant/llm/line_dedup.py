@@ -46,7 +46,9 @@ def text_key(text: Column) -> Column:
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, tk, site, pos, h1, h2): one row for each line that is long enough."""
-    lines = docs.select(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # hashed and split before lines are made: no line's row carries the text
+    split = docs.select(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("tk"), F.coalesce("source", F.lit("")).alias("site"), F.split("text", "\n", -1).alias("lines"))
+    lines = split.select("doc_id", "tk", "site", F.posexplode("lines").alias("pos", "line"))
     line = F.trim("line")
     return lines.filter(F.length(line) >= min_chars).select("doc_id", "tk", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"))
 
@@ -78,12 +80,15 @@ def removals(docs: DataFrame, cfg: LineSpread) -> DataFrame:
 def dedup_lines(docs: DataFrame, cfg: LineSpread = LineSpread()) -> DataFrame:
     """The given columns with boilerplate lines out of ``text``, and __n_lines and __n_removed."""
     own = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
-    i, tk, gone = (f"__{x}_{uuid.uuid4().hex}" for x in ("id", "tk", "gone"))
+    i, tk, gone, held = (f"__{x}_{uuid.uuid4().hex}" for x in ("id", "tk", "gone", "lines"))
     found = removals(docs.select("doc_id", "text", "source"), cfg).select(F.col("doc_id").alias(i), F.col("tk").alias(tk), F.col("gone").alias(gone))
     # the same join at every size: texts are dealt by hash once, however small the other side
     out = docs.select(*own).join(found.hint("merge"), docs["doc_id"].eqNullSafe(F.col(i)) & (text_key(docs["text"]) == F.col(tk)), "left")
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(gone, k)), "\n")
+    # texts are split once, in a column of their own; the places that stay come from a hashed difference, so that a long text takes time by its lines
+    out = out.withColumn(held, F.split("text", "\n", -1))
+    lines = F.col(held)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    rest = F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)
