@@ -73,16 +73,21 @@ class SuffixAutomaton:
         self.link, self.len = array("i", self.link), array("i", self.len)
         self.windows: dict[int, set] = {}  # items that have the window-long suffix of a state's strings
         self.whole: dict[int, dict[int, set]] = {}  # short items that end a state's strings, by length
+        order = sorted(range(1, n), key=self.len.__getitem__)
+        #: of a state whose strings reach the window, the state of their window-long suffix: found once, from the links' end
+        self.of_window = array("i", bytes(4 * n))
+        for v in order:
+            if self.len[v] >= window:
+                self.of_window[v] = v if self.len[self.link[v]] < window else self.of_window[self.link[v]]
         for name, seq in seqs:
             least, state, length = min(window, len(seq)), 0, 0
             for w in seq:
                 state, length = self.step(state, length, w)
                 if length >= least:
-                    at = self.suffix_state(state, least)
+                    at = self.of_window[state] if least == window else state  # a short item is whole here, so the state is its own
                     (self.windows.setdefault(at, set()) if least == window else self.whole.setdefault(at, {}).setdefault(least, set())).add(name)
         same: dict[frozenset, frozenset] = {}  # an item's windows share one set
         self.windows = {v: same.setdefault(x, x) for v, names in self.windows.items() if (x := frozenset(names))}
-        order = sorted(range(1, n), key=self.len.__getitem__)
         self.next_short = array("i", bytes(4 * n))  # the nearest state on the way to the root, itself included, that ends a short item
         for v in order:
             self.next_short[v] = v if v in self.whole else self.next_short[self.link[v]]
@@ -129,11 +134,6 @@ class SuffixAutomaton:
             length = self.len[state]
         return self.to[at], length + 1
 
-    def suffix_state(self, state: int, length: int) -> int:
-        while self.len[self.link[state]] >= length:
-            state = self.link[state]
-        return state
-
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of words that are neighbours in an item, long enough for a match."""
         good = ids >= 0
@@ -165,8 +165,7 @@ class SuffixAutomaton:
                 state, length = self.step(state, length, int(ids[i]))
                 longest, most = max(longest, length), 0
                 if length >= self.window:
-                    at = self.suffix_state(state, self.window)
-                    found = self.windows.get(at, ())
+                    found = self.windows.get(self.of_window[state], ())
                     items.update(found)
                     most = self.window if found else 0
                 at = self.next_short[state]
