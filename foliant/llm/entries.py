@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat_format, decontaminate, line_dedup, near_dedup, quality_rules, quality_trees, secrets, token_store, toxicity
+from foliant.llm import bpe, chat_format, decontaminate, divergence, line_dedup, near_dedup, quality_rules, quality_trees, secrets, token_store, toxicity
 from foliant.llm.common import Scratch, cut, table
 
 #: Where the public tokenizers' files are; never copied.
@@ -68,9 +68,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_chat_formatting, op3_token_binary, op4_secret_scan, op5_quality_classifier,
-    op6_benchmark_decontamination, op7_bpe, op8_quality_rules, op9_line_dedup, op10_toxicity,
+    op6_benchmark_decontamination, op7_bpe, op8_quality_rules, op9_line_dedup, op10_toxicity, op12_source_divergence,
 )}
 
 ORACLE = {
@@ -129,4 +133,29 @@ WITH l AS (
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n)::BIGINT AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 10
+), l AS (
+  SELECT lang, count(*) AS kept, sum(all_n)::BIGINT AS all_total FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.all_n, l.kept, l.all_total, (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source))::BIGINT AS total
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT *, 1 + (1000000000 * (n + 2)) // (total + 2 * kept) AS p, 1 + (1000000000 * (all_n + 2)) // (all_total + 2 * kept) AS q FROM dense
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10""",
 }
