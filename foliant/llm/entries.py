@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat_format, decontaminate, divergence, line_dedup, near_dedup, quality_rules, quality_trees, secrets, token_store, toxicity
+from foliant.llm import bpe, chat_format, decontaminate, divergence, line_dedup, near_dedup, periodic, quality_rules, quality_trees, secrets, token_store, toxicity
 from foliant.llm.common import Scratch, cut, table
 
 #: Where the public tokenizers' files are; never copied.
@@ -68,13 +69,28 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's own repetition in every tenth document: from word a on, the words come round every p."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(table(spark, sf_dir, "documents"), rewrite=planted_period)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_chat_formatting, op3_token_binary, op4_secret_scan, op5_quality_classifier,
-    op6_benchmark_decontamination, op7_bpe, op8_quality_rules, op9_line_dedup, op10_toxicity, op12_source_divergence,
+    op6_benchmark_decontamination, op7_bpe, op8_quality_rules, op9_line_dedup, op10_toxicity, op11_periodic_runs, op12_source_divergence,
 )}
 
 ORACLE = {
@@ -133,6 +149,30 @@ WITH l AS (
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "op11_periodic_runs": r"""
+WITH h AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1)))) AS h FROM documents
+), g AS (
+  SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM h
+), t AS (
+  SELECT id, n, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % (1 + (n - a) // k) + 1] ELSE w[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM g)
+), same AS (
+  SELECT x.id, x.i, x.i - y.i AS q FROM t x JOIN t y ON x.id = y.id AND x.w = y.w AND y.i < x.i AND (x.i - y.i) * 4 <= x.n
+), island AS (
+  SELECT id, q, min(i) - q AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS o FROM same) GROUP BY id, q, o HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT * FROM island x WHERE NOT EXISTS (SELECT 1 FROM island y WHERE y.id = x.id AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)
+), best AS (
+  SELECT id, count(*) AS n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q)) AS listed FROM r GROUP BY id
+), top AS (
+  SELECT DISTINCT ON (id) id, s, len, q FROM r ORDER BY id, len / q DESC, s, q
+), kept AS (
+  SELECT t.id, string_agg(t.w, ' ' ORDER BY t.i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = t.id AND t.i >= r.s + r.q AND t.i < r.s + r.len) GROUP BY t.id
+)
+SELECT g.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, (1000 * len) // q AS exponent_milli, coalesce(listed, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM g LEFT JOIN best ON best.id = g.id LEFT JOIN top ON top.id = g.id LEFT JOIN kept ON kept.id = g.id""",
     "op12_source_divergence": r"""
 WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
