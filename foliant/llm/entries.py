@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat_format, decontaminate, divergence, line_dedup, near_dedup, periodic, quality_rules, quality_trees, secrets, token_store, toxicity
+from foliant.llm import bpe, chat_format, decontaminate, divergence, line_dedup, near_dedup, periodic, quality_rules, quality_trees, recurrent_lm, secrets, token_store, toxicity
 from foliant.llm.common import Scratch, cut, table
 
 #: Where the public tokenizers' files are; never copied.
@@ -88,9 +88,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_chat_formatting, op3_token_binary, op4_secret_scan, op5_quality_classifier,
     op6_benchmark_decontamination, op7_bpe, op8_quality_rules, op9_line_dedup, op10_toxicity, op11_periodic_runs, op12_source_divergence,
+    op13_lm_scoring,
 )}
 
 ORACLE = {
