@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import dedupe_key, significant_words, word_jaccard
+from foliant.operators.rounds import first_come
 
 LEAST_CHARS = 20
 
@@ -44,18 +44,10 @@ def near_pairs(rows: DataFrame, key: str, group: str, text: str, jaccard: float
 
 def greedy_keep(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     """Order-dependent resolution inside a group, left to right: of a pair the longer text stays (tie: the earlier); a dropped
-    row drops none. The groups are those of the entries of one document and code, and small by nature."""
-
-    def resolve(g: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for a, b, la, lb in g.sort_values(["a", "b"])[["a", "b", "la", "lb"]].itertuples(index=False):
-            if a not in gone and b not in gone:
-                gone.add(a if lb > la else b)
-        return pd.DataFrame({"g": [g["g"].iloc[0]] * len(gone), "dropped": sorted(gone)})
-
+    row drops none."""
     n = lengths.select("id", "n")
     sized = pairs.join(n.toDF("a", "la"), "a").join(n.toDF("b", "lb"), "b")
-    return sized.groupBy("g").applyInPandas(resolve, "g string, dropped long")
+    return first_come(sized.select("g", "a", "b", (F.col("lb") <= F.col("la")).alias("drops_b")), ["g"]).drop("kept")
 
 
 def best_overlap(rows: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:

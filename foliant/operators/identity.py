@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.dates import dates_compatible
 from foliant.functions.text import dedupe_key, significant_words
+from foliant.operators.rounds import first_come, first_of_keys
 
 # The least shares that make a duplicate, what vetoes one, and the codes whose dates must agree.
 JACCARD, CONTAINMENT, TITLE = 0.6, 0.75, 0.8
@@ -60,33 +60,13 @@ def near_decisions(entries: DataFrame) -> DataFrame:
 
 def left_to_right(pairs: DataFrame) -> DataFrame:
     """person, code, dropped: pairs in document order; a dropped entry drops none, and one that is dropped by a later entry stops looking."""
-
-    def resolve(g: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for a, b, drops_b in g.sort_values(["a", "b"])[["a", "b", "drops_b"]].itertuples(index=False):
-            if a not in gone and b not in gone:
-                gone.add(b if drops_b else a)
-        return pd.DataFrame({"person": [g["person"].iloc[0]] * len(gone), "code": [g["code"].iloc[0]] * len(gone), "dropped": sorted(gone)})
-
-    return pairs.groupBy("person", "code").applyInPandas(resolve, "person long, code string, dropped long")
+    return first_come(pairs, ["person", "code"]).drop("kept")
 
 
 def first_holders(entries: DataFrame, keys: list[Column]) -> DataFrame:
     """person, entry_id, holder: entries that share an identity key with an earlier entry of the person that is no copy itself. Left to right, in one person's entries."""
-
-    def resolve(g: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        out = []
-        for i, ks in g.sort_values("entry_id")[["entry_id", "keys"]].itertuples(index=False):
-            at = min((held[k] for k in ks if k in held), default=None)
-            if at is None:
-                held.update((k, i) for k in ks if k not in held)
-            else:
-                out.append((i, at))
-        return pd.DataFrame({"person": [g["person"].iloc[0]] * len(out), "entry_id": [i for i, _ in out], "holder": [h for _, h in out]})
-
-    tagged = F.array_compact(F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k.cast("string"))) for n, k in enumerate(keys))))
-    return entries.select("person", "entry_id", tagged.alias("keys")).groupBy("person").applyInPandas(resolve, "person long, entry_id long, holder long")
+    tagged = F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k.cast("string"))) for n, k in enumerate(keys)))
+    return first_of_keys(entries, ["person"], "entry_id", tagged)
 
 
 def across_codes(entries: DataFrame, key: Column) -> DataFrame:

@@ -72,11 +72,11 @@ def islands(rows: DataFrame, key: str, part: str, order: str) -> DataFrame:
     return rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
-def follow(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, target (null: none) to node, root: the end of each chain that goes in one direction; null where it turns back. Pointers double in every round, so a chain of a million links takes twenty."""
+def follow(links: DataFrame) -> DataFrame:
+    """node, target (null: none) to node, root: the end of each chain that goes in one direction; null where it turns back. Pointers double in every round until none moves, so a chain of a million links takes twenty."""
     spark = links.sparkSession
     now = links.select("node", F.col("target").alias("at"), F.when(F.col("target") > F.col("node"), 1).when(F.col("target") < F.col("node"), -1).when(F.col("target").isNotNull(), 0).alias("way"))
-    for _ in range(rounds):
+    while True:
         far = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("way").alias("next_way"))
         step = now.join(far, "at", "left")
         ok = F.col("next").isNull() | (F.col("next_way") == F.col("way"))

@@ -45,9 +45,14 @@ def near_dup_entries(spark, d):
     return identity.near_decisions(entries(spark, d))
 
 
-@query()
+def folded(pairs: str, group: str) -> str:
+    """Pairs (a, b, drops_b) of a group in order, through a list of what is gone."""
+    return f"""SELECT {group}, unnest(gone) AS dropped FROM (SELECT {group}, list_reduce(list_prepend({{'a': 0, 'b': 0, 'd': false, 'gone': []::BIGINT[]}}, list({{'a': a, 'b': b, 'd': drops_b, 'gone': []::BIGINT[]}} ORDER BY a, b)),
+  lambda x, y: {{'a': 0, 'b': 0, 'd': false, 'gone': CASE WHEN list_contains(x.gone, y.a) OR list_contains(x.gone, y.b) THEN x.gone ELSE list_append(x.gone, CASE WHEN y.d THEN y.b ELSE y.a END) END}}).gone AS gone FROM ({pairs}) GROUP BY {group})"""
+
+
+@query(folded(NEAR, "person, code"))
 def near_dup_drops(spark, d):
-    """Order-dependent; held against a replay in the tests."""
     return identity.left_to_right(identity.near_decisions(entries(spark, d)))
 
 
@@ -58,9 +63,12 @@ def _ids(spark, d):
     return rows, [some(3, 7), some(4, 5), F.concat_ws("|", "title", "y")]
 
 
-@query()
+HELD = f"""SELECT person, entry_id, [x for x in ['0:' || CASE WHEN entry_id % 3 = 0 THEN entry_id % 7 END, '1:' || CASE WHEN entry_id % 4 = 0 THEN entry_id % 5 END, '2:' || title || '|' || y] if x IS NOT NULL] AS ks FROM {ENTRIES}"""
+
+
+@query(f"""SELECT person, entry_id, holder FROM (SELECT person, unnest(copies, recursive := true) FROM (SELECT person, list_filter(list_reduce(list_prepend({{'i': 0, 'ks': []::VARCHAR[], 'seen': []::STRUCT(entry_id BIGINT, holder BIGINT, ks VARCHAR[])[]}}, list({{'i': entry_id, 'ks': ks, 'seen': []::STRUCT(entry_id BIGINT, holder BIGINT, ks VARCHAR[])[]}} ORDER BY entry_id)),
+  lambda x, y: {{'i': 0, 'ks': []::VARCHAR[], 'seen': list_append(x.seen, {{'entry_id': y.i, 'holder': list_min([z.entry_id for z in x.seen if z.holder IS NULL AND list_has_any(z.ks, y.ks)]), 'ks': y.ks}})}}).seen, lambda z: z.holder IS NOT NULL) AS copies FROM ({HELD}) GROUP BY person))""")
 def identity_key_copies(spark, d):
-    """Order-dependent; held against a replay in the tests."""
     return identity.first_holders(*_ids(spark, d))
 
 
