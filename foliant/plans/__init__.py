@@ -1,7 +1,7 @@
 """The registered queries and their SQL, by domain."""
 
-from foliant.plans import analytics, dates, documents, exchange, flows, identities, measures, nested, records, recordsets, refinements, streams, structure, texts, versions
+from foliant.plans import analytics, dates, documents, exchange, flows, identities, measures, nested, privacy, records, recordsets, refinements, streams, structure, texts, versions
 
-MODULES = (documents, dates, texts, identities, structure, measures, nested, versions, refinements, records, recordsets, exchange, flows, analytics, streams)
+MODULES = (documents, dates, texts, privacy, identities, structure, measures, nested, versions, refinements, records, recordsets, exchange, flows, analytics, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
