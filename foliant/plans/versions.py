@@ -27,14 +27,19 @@ def _running(spark, d):
     return at.withColumn("repeated", (F.count(F.lit(1)).over(w) > 1) & (F.coalesce(F.min("gap").over(w), F.lit(0)) >= L.REPEAT_SPACING))
 
 
-FURNITURE = r"(?i)^\W*[0-9]+(\s*(of|/)\s*[0-9]+)?\W*$|(?i)\bpage\s*[0-9]+|(?-i)MERGEFORMAT|NUMPAGES|HYPERLINK|\bPAGE\b|DATE\s*\\@|(?i)\bcurriculum\s+vita|:$|^(key:\s*)?\S{0,3}\s*(denotes?|designates?|indicates?|marks?)\b|^\W*((last\s+)?(updated|revised|date\s+prepared)\b|rev\.)|\bh-index\b|\bi-?10[- ]index\b|\bcitations\s*="
+NUMBER = r"regexp_matches(line, '[0-9]') AND NOT regexp_matches(regexp_replace(lower(line), '(^|[^\p{L}])(pages?|of|p)([^\p{L}]|$)', '\1 \3', 'g'), '\p{L}')"
+# between letters only: two page words side by side need a second pass
+NUMBER = NUMBER.replace("regexp_replace(lower(line)", r"regexp_replace(regexp_replace(lower(line), '(^|[^\p{L}])(pages?|of|p)([^\p{L}]|$)', '\1 \3', 'g')")
+FURNITURE = rf"""(({NUMBER}) OR regexp_matches(line, '(^|[^\p{{L}}])(MERGEFORMAT|NUMPAGES|HYPERLINK|PAGE)([^\p{{L}}]|$)') OR regexp_matches(line, '(?i)curriculum\s*vita') OR line[-1] = ':'
+ OR regexp_matches(lower(line), '^[^\p{{L}}]*(\p{{L}}+[^\p{{L}}]+)?(denotes?|designates?|indicates?|marks?)([^\p{{L}}]|$)') OR regexp_matches(lower(line), '^[^a-z0-9]*((last[^a-z0-9]+)?date[^a-z0-9]+prepared|(last[^a-z0-9]+)?(updated|revised)|rev)([^a-z0-9-]|-[^a-z0-9]|-?$)')
+ OR regexp_matches(lower(line), '(^|[^a-z0-9-]|[^a-z0-9]-)(h-index|i-?10-index)([^a-z0-9-]|-[^a-z0-9]|-?$)'))"""
 COLS = "'activity', 'awarded', 'course', 'date', 'dates', 'degree', 'dissertation', 'enrollment', 'granted', 'inclusive', 'institution', 'location', 'name', 'organisation', 'organization', 'position', 'rank', 'role', 'thesis', 'title', 'year', 'years'"
 SPLIT = r"list_filter(regexp_split_to_array(trim(line, ' '), '\s+'), lambda w: w <> '')"
 KINDS = rf"""SELECT doc_id, idx, furniture, col_header, caps, furniture OR col_header OR caps OR (len(w) <= 6 AND repeated) AS noise, regexp_matches(line, '\p{{L}}') AND NOT (furniture OR col_header OR caps OR (len(w) <= 6 AND repeated)) AND len(w) >= CASE WHEN regexp_matches(line, '[0-9]') THEN 5 ELSE 8 END AS content,
  length(trim(line, ' ')) > 60 AND (contains(line, ' | ') OR contains(line, chr(9))) AS record, len(low) >= 4 AND len(low) * 2 > len(long) AS prose FROM (
-SELECT *, list_filter(long, lambda x: lower(x[1]) = x[1]) AS low, regexp_matches(line, '{FURNITURE}') AS furniture, upper(line) = line AND lower(line) <> line AND NOT regexp_matches(line, '[0-9]') AS caps,
- len(list_filter(regexp_extract_all(lower(line), '[a-z]+'), lambda x: x IN ({COLS}))) >= 2 AND NOT regexp_matches(line, '[0-9,.;:()]') AND len(list_filter(w, lambda x: lower(x[1]) = x[1] AND upper(x[1]) <> x[1])) = 0 AS col_header FROM (
-SELECT *, {SPLIT} AS w, regexp_extract_all(line, '\p{{L}}{{4,}}') AS long FROM ({RUNNING})))"""
+SELECT *, list_filter(long, lambda x: lower(x[1]) = x[1]) AS low, {FURNITURE} AS furniture, upper(line) = line AND lower(line) <> line AND NOT regexp_matches(line, '[0-9]') AS caps,
+ len(list_filter(regexp_extract_all(lower(line), '\p{{L}}+'), lambda x: x IN ({COLS}))) >= 2 AND NOT regexp_matches(line, '[0-9,.;:()]') AND len(list_filter(w, lambda x: lower(x[1]) = x[1] AND upper(x[1]) <> x[1])) = 0 AS col_header FROM (
+SELECT *, {SPLIT} AS w, list_filter(regexp_extract_all(line, '\p{{L}}+'), lambda x: length(x) >= 4) AS long FROM ({RUNNING})))"""
 
 
 @query(KINDS)
