@@ -25,11 +25,10 @@ def deletions(word: Column, most: int) -> Column:
 
 
 def near_names(rows: DataFrame, queries: DataFrame, key: str, name: str, most: int = 2, least: int = 3) -> DataFrame:
-    """query, other, distance: for every query's name the other names within ``most`` edits, itself apart. Names are compared once for each spelling, however many rows have it; names of fewer than ``least`` letters are found by themselves alone. Null names meet nothing."""
-    index = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("other")).agg(F.count(F.lit(1)).alias("rows"))
-    asked = queries.filter(F.col(name).isNotNull()).select(F.col(name).alias("query")).distinct()
-    long = lambda c: F.when(F.length(c) >= least, deletions(F.col(c), most)).otherwise(F.array(F.col(c)))
-    given = index.select("other", "rows", F.explode(long("other")).alias("k"))
-    met = asked.select("query", F.explode(long("query")).alias("k")).join(given, "k").select("query", "other", "rows").distinct()
+    """query, other, distance: for every query's name the other names within ``most`` edits, itself apart. Names are compared once for each spelling, however many rows have it; null names and names of fewer than ``least`` letters, which are within two edits of most others, meet nothing."""
+    index = rows.filter(F.length(name) >= least).groupBy(F.col(name).alias("other")).agg(F.count(F.lit(1)).alias("rows"))
+    asked = queries.filter(F.length(name) >= least).select(F.col(name).alias("query")).distinct()
+    given = index.select("other", "rows", F.explode(deletions(F.col("other"), most)).alias("k"))
+    met = asked.select("query", F.explode(deletions(F.col("query"), most)).alias("k")).join(given, "k").select("query", "other", "rows").distinct()
     distance = F.levenshtein("query", "other", most)
     return met.withColumn("distance", distance).filter("distance > 0").select("query", "other", "rows", "distance")

@@ -35,12 +35,12 @@ _WHOLE_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 
 def closed(text: Column) -> Column:
-    """A JSON text that was cut off anywhere, closed: an open string is ended, a name without a value gets null, a comma at the end goes, and brackets are closed from the innermost. Whole texts stay as they are. What isn't the beginning of JSON may still be none."""
+    """A JSON text that was cut off anywhere, closed: an open string is ended, a name without a value gets null, a comma at the end goes, and brackets are closed from the innermost. Whole texts stay as they are, but for white space at their end. What isn't the beginning of JSON may still be none."""
     bare = F.regexp_replace(text, rf"(?s){_WHOLE_STRING}", "S")
     inside = F.contains(bare, F.lit('"'))
     # a backslash at the end, or the beginning of an escape, would take the closing quote in
-    body = F.when(inside, F.concat(F.regexp_replace(text, r"(?s)(?<!\\)((?:\\\\)*)(?:\\|\\u[0-9a-fA-F]{0,3})\z", "$1"), F.lit('"'))).otherwise(F.rtrim(text))
-    bare = F.rtrim(F.regexp_replace(bare, r'(?s)".*\z', "S"))
+    body = F.when(inside, F.concat(F.regexp_replace(text, r"(?s)(?<!\\)((?:\\\\)*)(?:\\|\\u[0-9a-fA-F]{0,3})\z", "$1"), F.lit('"'))).otherwise(F.regexp_replace(text, r"\s+\z", ""))
+    bare = F.regexp_replace(F.regexp_replace(bare, r'(?s)".*\z', "S"), r"\s+\z", "")
     brackets = F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"), F.lit(1))
     push = lambda s, c: F.when(c.isin("[", "{"), F.concat(s, c)).otherwise(F.substring(s, F.lit(1), F.length(s) - 1))
     stack = F.aggregate(brackets, F.lit(""), push)
