@@ -99,13 +99,13 @@ def unextracted_content(spark, d):
     return rows.select("entry_id", F.when(F.col("n") == 0, 100.0).otherwise(F.bround(100.0 * F.col("k") / F.col("n"), 1)).alias("pct"))
 
 
-@query(f"""SELECT doc_id, list_sort(regexp_extract_all(lower(a), '[a-z0-9]+')) = list_sort(regexp_extract_all(lower(b), '[a-z0-9]+')) AS same FROM (SELECT doc_id, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY idx) AS b, idx FROM ({LINES})) WHERE idx = 0 AND b IS NOT NULL""")
+@query(f"""SELECT doc_id, count(*) AS pairs, count(*) FILTER (list_sort(regexp_extract_all(lower(a), '[a-z0-9]+')) = list_sort(regexp_extract_all(lower(b), '[a-z0-9]+'))) AS same FROM (SELECT doc_id, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM ({LINES})) WHERE b IS NOT NULL GROUP BY doc_id""")
 def multiset_coverage(spark, d):
-    """Whether the first two lines hold the same tokens, in any order."""
+    """Of every two neighbouring lines of a document, whether they hold the same tokens, in any order."""
     tokens = lambda c: F.sort_array(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
-    lines = F.split("text", "\n")
-    rows = table(spark, d, "documents").select("doc_id", lines.alias("l")).filter(F.size("l") > 1)
-    return rows.select("doc_id", (tokens(F.col("l")[0]) == tokens(F.col("l")[1])).alias("same"))
+    rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("l")).filter(F.size("l") > 1).select("doc_id", F.transform("l", tokens).alias("t"))
+    same = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: a == b)
+    return rows.select("doc_id", (F.size("t") - 1).cast("long").alias("pairs"), F.size(F.filter(same, lambda x: x)).cast("long").alias("same"))
 
 
 @query(f"SELECT doc_id, count(*) FILTER (length(trim(line, ' ')) > 60 AND contains(line, ', ')) >= 3 AS mega FROM ({LINES}) GROUP BY doc_id")
@@ -143,15 +143,19 @@ def report_cap(spark, d):
     return lints.findings(table(spark, d, "documents")).orderBy(rank, "doc_id", "lint").limit(1000)
 
 
-@query(f"""WITH f AS ({FINDINGS}), v AS (SELECT doc_id FROM labels WHERE quality = 0), h AS (SELECT v.doc_id, source, lang, v.doc_id IN (SELECT doc_id FROM f) AS hit FROM v JOIN documents USING (doc_id))
-SELECT facet, value, count(*) AS verified, count(*) FILTER (hit) AS caught, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT 'all' AS facet, 'all' AS value, hit FROM h UNION ALL SELECT 'source', source, hit FROM h UNION ALL SELECT 'lang', lang, hit FROM h) GROUP BY facet, value""")
+@query(f"""WITH f AS ({FINDINGS}), h AS (SELECT l.doc_id, source, lang, toxic::VARCHAR AS toxic, CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 5000 THEN 'middle' ELSE 'long' END AS size, l.doc_id IN (SELECT doc_id FROM f) AS hit FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality = 0)
+SELECT facet, value, count(*) AS verified, count(*) FILTER (hit) AS caught, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT 'all' AS facet, 'all' AS value, hit FROM h UNION ALL SELECT 'source', source, hit FROM h UNION ALL SELECT 'lang', lang, hit FROM h UNION ALL SELECT 'toxic', toxic, hit FROM h UNION ALL SELECT 'size', size, hit FROM h) GROUP BY facet, value""")
 def recall_by_group(spark, d):
-    """Verified findings that some lint caught, overall and by two groupings in one pass."""
+    """Verified findings that some lint caught, overall and by four groupings, as grouping sets of one aggregate."""
     docs = table(spark, d, "documents")
     hit = lints.findings(docs).select("doc_id").distinct().withColumn("hit", F.lit(True))
-    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id").join(docs.select("doc_id", "source", "lang"), "doc_id").join(hit, "doc_id", "left")
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in (("all", F.lit("all")), ("source", F.col("source")), ("lang", F.col("lang")))))).alias("g")
-    return bad.select(kinds, F.coalesce("hit", F.lit(False)).alias("hit")).groupBy("g.facet", "g.value").agg(F.count(F.lit(1)).alias("verified"), F.count_if("hit").alias("caught"), F.round(F.count_if("hit") / F.count(F.lit(1)), 6).alias("recall"))
+    size = F.when(F.length("text") < 500, "short").when(F.length("text") < 5000, "middle").otherwise("long")
+    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id", F.col("toxic").cast("string").alias("toxic")).join(docs.select("doc_id", "source", "lang", size.alias("size")), "doc_id").join(hit, "doc_id", "left")
+    by = ["source", "lang", "toxic", "size"]
+    sets = bad.withColumn("hit", F.coalesce("hit", F.lit(False))).groupingSets([[], *([c] for c in by)], *by)
+    out = sets.agg(F.count(F.lit(1)).alias("verified"), F.count_if("hit").alias("caught"), F.round(F.count_if("hit") / F.count(F.lit(1)), 6).alias("recall"), *(F.grouping(c).alias(f"no_{c}") for c in by))
+    pick = lambda of: F.coalesce(*(F.when(F.col(f"no_{c}") == 0, of(c)) for c in by), F.lit("all"))
+    return out.select(pick(F.lit).alias("facet"), pick(F.col).alias("value"), "verified", "caught", "recall")
 
 
 @query("""WITH r AS (SELECT event_type, value, user_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS ru FROM events WHERE value IS NOT NULL)

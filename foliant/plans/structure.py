@@ -206,16 +206,16 @@ def tie_order(spark, d):
 INDEX = "CASE l_linenumber % 3 WHEN 0 THEN l_orderkey::VARCHAR WHEN 1 THEN l_orderkey || '.' || l_partkey % 12 ELSE 'table_' || l_orderkey END"
 
 
-@query(f"""SELECT index, row_number() OVER (ORDER BY CASE WHEN index LIKE 'table_%' THEN 1000000000 + split_part(index, '_', 2)::BIGINT ELSE split_part(index, '.', 1)::BIGINT END, coalesce(try_cast(split_part(index, '.', 2) AS INT), 0)) AS place FROM (SELECT DISTINCT {INDEX} AS index FROM lineitem WHERE l_suppkey = 1)""")
+@query(f"""SELECT l_suppkey, index, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN index LIKE 'table_%' THEN 1000000000 + split_part(index, '_', 2)::BIGINT ELSE split_part(index, '.', 1)::BIGINT END, coalesce(try_cast(split_part(index, '.', 2) AS INT), 0), index) AS place FROM (SELECT DISTINCT l_suppkey, {INDEX} AS index FROM lineitem)""")
 def document_order(spark, d):
-    """Plain, dotted and table indexes in one order. One supplier's rows: a report, in one task by nature."""
+    """Plain, dotted and table indexes of every supplier in one order."""
     k = F.col("l_linenumber") % 3
     o = F.col("l_orderkey").cast("string")
     index = F.when(k == 0, o).when(k == 1, F.concat_ws(".", o, (F.col("l_partkey") % 12).cast("string"))).otherwise(F.concat(F.lit("table_"), o))
-    rows = table(spark, d, "lineitem").filter("l_suppkey = 1").select(index.alias("index")).distinct()
+    rows = table(spark, d, "lineitem").select("l_suppkey", index.alias("index")).distinct()
     main = F.when(F.col("index").startswith("table_"), F.split("index", "_")[1].try_cast("long") + 1_000_000_000).otherwise(F.split("index", r"\.")[0].try_cast("long"))
     row = F.coalesce(F.try_element_at(F.split("index", r"\."), F.lit(2)).try_cast("int"), F.lit(0))
-    return rows.select("index", F.row_number().over(Window.orderBy(main, row)).cast("long").alias("place"))
+    return rows.select("l_suppkey", "index", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(main, row, "index")).cast("long").alias("place"))
 
 
 @query(f"SELECT person, min(n) AS lines, sum(n - used)::BIGINT AS free FROM (SELECT person, 40 AS n, count(DISTINCT entry_id % 40) AS used FROM {ENTRIES} GROUP BY person) GROUP BY person")

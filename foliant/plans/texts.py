@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import protected as P
 from foliant.functions import text as T
 from foliant.operators import segment
 from foliant.plans.registry import registry
@@ -146,11 +147,12 @@ def repeated_content_collapse(spark, d):
     return entries(spark, d).select("entry_id", T.collapse_repeats(content).alias("content"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', ''), '{T.IPV4}', '') AS text FROM documents WHERE regexp_matches(text, '{T.EMAIL}') OR regexp_matches(text, '{T.IPV4}')")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'), '\b([0-9]{1,3}\.){3}[0-9]{1,3}\b', '', 'g') AS text FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b([0-9]{1,3}\.){3}[0-9]{1,3}\b')")
 def pii_spans_cut(spark, d):
-    """The first address of either kind is cut by its place."""
+    """Every address of either kind is cut by its place."""
     t = F.col("text")
-    rows = table(spark, d, "documents").select("doc_id", "text", F.concat(T.first_span(t, T.EMAIL), T.first_span(t, T.IPV4)).alias("spans"))
+    place = lambda s: F.transform(s, lambda x: F.struct(x["start"], x["end"]))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.concat(place(P.found(t, T.EMAIL)), place(P.found(t, T.IPV4))).alias("spans"))
     return rows.filter(F.size("spans") > 0).select("doc_id", T.cut_spans(t, F.col("spans")).alias("text"))
 
 
