@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.sources.tables import settled, shared_dir, table
-from foliant.streaming import throttle
+from foliant.streaming import keyed, throttle
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,38 @@ def drained_updates(spark, frame, keys: list[str]):
     return settled(kept, root)
 
 
+def _at(spark, d):
+    return stream(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH r AS (SELECT user_id * 100 + day(ts) AS batch_id, hour(ts) AS run, bool_or(event_type IN ('purchase', 'error')) AS ended, max(ts) AS last, any_value(1 + user_id % 4) AS expected FROM events GROUP BY ALL),
+b AS (SELECT batch_id, count(*) AS runs, count(*) FILTER (NOT ended) AS open, max(epoch_ms(last)) AS last, any_value(expected) AS expected FROM r GROUP BY batch_id)
+SELECT batch_id, CASE WHEN runs >= expected AND open = 0 THEN 'complete' ELSE 'overdue' END AS notice, runs, open FROM b WHERE (runs >= expected AND open = 0) OR last + 86400000 < (SELECT max(epoch_ms(ts)) - 3600000 FROM events)""")
+def completion_notices(spark, d):
+    """A user's day is a batch, its hours are runs, which end with a purchase or an error. One notice when all that were expected have ended, or when nothing is heard for a day."""
+    at = _at(spark, d)
+    rows = at.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("batch_id"), F.hour("ts").cast("long").alias("run_id"), F.col("event_type").isin("purchase", "error").alias("ended"), (F.col("user_id") % 4 + 1).alias("expected"), "at")
+    with keyed.state_with_timers(spark):
+        return drained(spark, keyed.completed_once(rows, patience_seconds=86_400, keep_seconds=7 * 86_400))
+
+
+@query("""SELECT user_id AS run_id, unnest(s.kept) AS token FROM (SELECT user_id, list_reduce(list_prepend({'ms': -21600000, 'token': 0::BIGINT, 'kept': []::BIGINT[]}, list({'ms': epoch_ms(ts), 'token': event_id, 'kept': []::BIGINT[]} ORDER BY epoch_ms(ts), event_id)),
+ lambda x, y: CASE WHEN y.ms >= x.ms + 21600000 THEN {'ms': y.ms, 'token': y.token, 'kept': list_append(x.kept, y.token)} ELSE x END) AS s FROM events GROUP BY user_id)""")
+def handed_in_again(spark, d):
+    """Tokens that may go to the queue: one a user in six hours."""
+    rows = _at(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("token"), "at")
+    with keyed.state_with_timers(spark):
+        return drained(spark, keyed.once_per_spell(rows, 6 * 3600)).drop("ms")
+
+
+@query("SELECT user_id, event_id AS token, row_number() OVER (PARTITION BY user_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) ORDER BY epoch_ms(ts), event_id) <= 2 AS allowed FROM events")
+def daily_quota_stream(spark, d):
+    """Two hits a user and day of New York, whichever batch they come in."""
+    rows = _at(spark, d).select("user_id", F.col("event_id").alias("token"), "at")
+    with keyed.state_with_timers(spark):
+        return drained(spark, keyed.daily_quota(rows, 2, "America/New_York"))
+
+
 @query("SELECT user_id, max(n) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id")
 def throttle_sliding(spark, d):
     """An upper bound of the sliding throttle's load: refused hits count too."""
