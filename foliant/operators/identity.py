@@ -86,3 +86,31 @@ def undated_inside(entries: DataFrame) -> DataFrame:
     dated = rows.filter("kind <> 6").select("person", "title", F.col("entry_id").alias("other"), F.col("w").alias("v"))
     found = bare.join(dated, ["person", "title"]).filter(F.size(F.array_except("w", "v")) == 0)
     return found.groupBy("entry_id").agg(F.min("other").alias("inside"))
+
+
+def code_twins(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """person, record_id, twin, shared: records that share an identity key with a record of the person under another code, wherever it stands; the smallest such record, and how many there are, once for each key they share.
+
+    Rows have person, record_id, code. Per key only the first record and the number of each code are gathered, so a key with many records makes no square. Null keys, persons and codes meet nothing."""
+    tagged = F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{n}:"), k.cast("string"))) for n, k in enumerate(keys)))
+    at = rows.filter("code is not null").select("person", "record_id", "code", F.explode(F.array_compact(tagged)).alias("key"))
+    of_code = at.groupBy("person", "key", "code").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_key = of_code.groupBy("person", "key").agg(F.collect_list(F.struct("code", "first", "n")).alias("codes")).filter(F.size("codes") > 1)
+    others = F.filter("codes", lambda c: c["code"] != F.col("code"))
+    met = at.join(of_key, ["person", "key"]).select("person", "record_id", F.array_min(F.transform(others, lambda c: c["first"])).alias("first"), F.aggregate(others, F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"))
+    return met.groupBy("person", "record_id").agg(F.min("first").alias("twin"), F.sum("n").alias("shared"))
+
+
+def inside_dated(undated: DataFrame, dated: DataFrame) -> DataFrame:
+    """record_id, inside: undated records all of whose words stand in one dated record of the person; the smallest such one.
+
+    Both have person, record_id, words. Equal sets of a person are one. An undated set meets the dated ones on its word that fewest of them have, and has no match where a word of it is in none. Sets without words are inside nothing."""
+    sets = lambda f: f.filter(F.size("words") > 0).select("person", "record_id", F.array_sort(F.array_distinct("words")).alias("w"))
+    each = sets(undated)
+    some, held = each.select("person", "w").distinct(), sets(dated).groupBy("person", F.col("w").alias("v")).agg(F.min("record_id").alias("inside"))
+    index = held.select("person", F.explode("v").alias("t")).groupBy("person", "t").agg(F.count(F.lit(1)).alias("f"))
+    terms = some.select("person", "w", F.explode("w").alias("t")).join(index, ["person", "t"]).groupBy("person", "w").agg(F.min(F.struct("f", "t"))["t"].alias("t"), F.count(F.lit(1)).alias("k"))
+    rare = terms.filter(F.col("k") == F.size("w")).drop("k")
+    pairs = rare.join(held.select("person", "v", "inside", F.explode("v").alias("t")), ["person", "t"]).filter(F.size(F.array_except("w", "v")) == 0)
+    found = pairs.groupBy("person", "w").agg(F.min("inside").alias("inside"))
+    return each.join(found, ["person", "w"]).select("record_id", "inside")
