@@ -1,6 +1,6 @@
 """Checks that need a document's source and what was made of it: differences of their words, years and lines as multisets.
 
-Words and lines of both sides are counted in one aggregation by (document, kind, key), folded before they are shuffled, so a long document spreads over many tasks and no text meets another whole. A document without an output has its checks skipped. Null and empty source texts have nothing to lose; null outputs are none, empty outputs are outputs. Where a document has several rows, their texts count together.
+Words and lines of both sides are counted in one aggregation by (document, key), folded before they are shuffled, so a long document spreads over many tasks and no text meets another whole. A document without an output has its checks skipped. Null and empty source texts have nothing to lose; null outputs are none, empty outputs are outputs. Where a document has several rows, their texts count together.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Which share of words may be lost or new before a check fires, in hundredths.
 LOST_PERCENT, NEW_PERCENT = 20, 5
+# Both sides' counts travel in one number; a document has fewer than 2^31 of any word.
+SOURCE, OUTPUT = 1, 1 << 32
 #: check: severity, how many it finds, when it fires.
 CHECKS: dict[str, tuple[str, str, str]] = {
     "content_lost": ("ERROR", "lost_words", f"lost_words * 100 > words * {LOST_PERCENT}"),
@@ -21,28 +23,26 @@ CHECKS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def _counted(texts: DataFrame, side: str) -> DataFrame:
-    """doc_id, kind, key, and a one on its side, for each word and each line that has a letter or figure."""
+def _counted(texts: DataFrame, one: int) -> DataFrame:
+    """doc_id, key, n: a row for each word (key w...) and each line that has a letter or figure (key l...)."""
     low = F.lower("text")
-    words = F.transform(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key")))
-    lines = F.transform(F.split(low, "\n", -1), lambda x: F.struct(F.lit("line").alias("kind"), F.regexp_replace(x, r"[^\p{L}\p{N}]", "").alias("key")))
-    at = texts.select("doc_id", F.explode(F.concat(words, F.filter(lines, lambda x: x["key"] != ""))).alias("x"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return at.select("doc_id", "x.kind", "x.key", (one if side == "s" else none).alias("s"), (one if side == "o" else none).alias("o"))
+    words = F.transform(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.concat(F.lit("w"), w))
+    lines = F.transform(F.split(low, "\n", -1), lambda x: F.concat(F.lit("l"), F.regexp_replace(x, r"[^\p{L}\p{N}]", "")))
+    return texts.select("doc_id", F.explode(F.concat(words, F.filter(lines, lambda x: x != "l"))).alias("key")).withColumn("n", F.lit(one))
 
 
 def differences(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """A row for each document of sources (doc_id, text): there (whether it has an output), words, out_words, lost_words, new_words, lost_years, new_years, lost_lines, twice (lines printed more often than in the source, which has them)."""
     sources, outputs = sources.select("doc_id", "text").filter("doc_id is not null"), outputs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    marks = sources.select("doc_id", F.lit("source").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("o"))
-    there = outputs.select("doc_id", F.lit("output").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("o"))
-    folded = _counted(sources, "s").union(_counted(outputs, "o")).union(marks).union(there).groupBy("doc_id", "kind", "key").agg(F.sum("s").alias("s"), F.sum("o").alias("o"))
-    word, line, year = F.col("kind") == "word", F.col("kind") == "line", (F.col("kind") == "word") & F.col("key").rlike(r"^(19|20)\d\d$")
+    marks = [f.select("doc_id", F.lit(k).alias("key"), F.lit(one).alias("n")) for f, k, one in ((sources, "s", SOURCE), (outputs, "o", OUTPUT))]
+    each = _counted(sources, SOURCE).union(_counted(outputs, OUTPUT)).union(marks[0]).union(marks[1]).groupBy("doc_id", "key").agg(F.sum("n").alias("n"))
+    folded = each.select("doc_id", "key", F.col("n").bitwiseAND(F.lit(OUTPUT - 1)).alias("s"), F.shiftright("n", 32).alias("o"))
+    word, line, year = F.startswith("key", F.lit("w")), F.startswith("key", F.lit("l")), F.col("key").rlike(r"^w(19|20)\d\d$")
     total = lambda when, what: F.coalesce(F.sum(F.when(when, what)), F.lit(0)).alias
     lost, new = F.greatest(F.col("s") - F.col("o"), F.lit(0)), F.greatest(F.col("o") - F.col("s"), F.lit(0))
     gone, fresh = (F.col("s") > 0) & (F.col("o") == 0), (F.col("o") > 0) & (F.col("s") == 0)
     per = folded.groupBy("doc_id").agg(
-        F.bool_or(F.col("kind") == "source").alias("known"), F.bool_or(F.col("kind") == "output").alias("there"), total(word, F.col("s"))("words"), total(word, F.col("o"))("out_words"), total(word, lost)("lost_words"), total(word, new)("new_words"),
+        F.bool_or(F.col("key") == "s").alias("known"), F.bool_or(F.col("key") == "o").alias("there"), total(word, F.col("s"))("words"), total(word, F.col("o"))("out_words"), total(word, lost)("lost_words"), total(word, new)("new_words"),
         total(year & gone, F.lit(1))("lost_years"), total(year & fresh, F.lit(1))("new_years"), total(line & gone, F.lit(1))("lost_lines"), total(line & (F.col("s") > 0), new)("twice"),
     )
     return per.filter("known").drop("known")
