@@ -6,8 +6,8 @@ counts. So every token has its true count at every size.
 **Network.** The ``classes * of_class - 1`` most frequent words, the end of text among them, are the network's; all others are its unknown word, whose probability is shared out by their counts, smoothed like the base score. Words are dealt to
 classes by frequency; P(word) = P(class) P(word | class). Before training the output's biases are the logarithms of the counts, so that an untrained network is the smoothed unigram model.
 
-**Training** is by truncated backpropagation in numpy, in Spark tasks: one in ``share`` of the training documents, by hash, is learned from in each of ``rounds`` rounds, so that what is
-learned from grows with the input. Long texts are learned from in pieces of ``piece`` words. A task starts from the
+**Training** is by truncated backpropagation in numpy, in Spark tasks, from every training document: they are dealt into ``share`` parts by hash, and each of ``rounds`` rounds, of which there are as many as parts at least,
+learns from the whole of one. Long texts are learned from in pieces of ``piece`` words. A task starts from the
 round's parameters, runs its documents through ``lanes`` lanes of windows of ``steps`` words, state carried from window to window, and returns how far the parameters
 moved, averaged by the tokens behind them, block by block, in Spark.
 The driver sees the averages alone. Tasks read their documents in a fixed order, so a lost one is repeated alike; how many there are is the cluster's parallelism, or ``tasks``.
@@ -37,6 +37,7 @@ from foliant.llm.common import Scratch, cut, doc_rows, held, map_rows, raw_texts
 
 END = b"\n"  # no word holds it
 BLOCK = 1_024  # parameters that are averaged together
+STRIP = 32  # tokens of one class that go through the softmax together in training
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Recurrent:
     smooth: float = 0.1
     folds: int = 10
     rounds: int = 4
-    share: int = 32
+    share: int = 4
     tasks: int | None = None
     lanes: int = 64
     steps: int = 20
@@ -61,31 +62,44 @@ class Recurrent:
     at_once: int = 1_000_000  # tokens that are scored side by side
     seed: int = 5
 
+    def __post_init__(self) -> None:
+        if self.rounds < self.share:
+            raise ValueError("fewer rounds than parts would leave training documents out")
+
     @property
     def words(self) -> int:
         return self.classes * self.of_class
 
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    @property
+    def kind(self) -> str:
+        """Of a word's number in tables."""
+        return "<u2" if self.words <= 1 << 16 else "<i4"
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def exponentials(logits: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logits at one place of some rows, and all rows' sums of exponentials, which take the logits' place. Where a sum might overflow or vanish, rows are brought down by their largest first."""
+    if logits.size and not -60 < logits.min() <= logits.max() < 60:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    return own, logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 def target_log(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax at one place a row; the logits are used up. Rows are brought down by one number, that of the largest: no sum is lost, as biases are -30 at least."""
-    logits -= logits.max()
-    rows = np.arange(len(at))
-    own = logits[rows, at].astype(float)
-    low = logits.max(1) < -60  # rows so far below the largest that their sum would vanish
-    if low.any():
-        own[low] -= (top := logits[low].max(1)).astype(float)
-        logits[low] -= top[:, None]
-    np.exp(logits, out=logits)
-    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    """log softmax at one place a row; the logits are used up."""
+    own, sums = exponentials(logits, np.arange(len(at)), at)
+    return own.astype(float) - np.log(sums)
+
+
+def surprise(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """The cross-entropy of the rows that count, summed, and its gradient by all logits, whose place it takes, of n tokens' mean; other rows have none."""
+    own, sums = exponentials(logits, rows, at)
+    loss = float(np.log(sums[rows]).sum() - own.sum())
+    share = np.zeros_like(sums)
+    share[rows] = 1 / (n * sums[rows])
+    logits *= share[:, None]
+    logits[rows, at] -= 1 / n
+    return loss, logits
 
 
 class Net:
@@ -116,21 +130,17 @@ class Net:
             at += x.size
         return self
 
-    def advance(self, gates: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One word: the new state, and what its gradient needs."""
+    def advance(self, gates: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The state after one word."""
         h, u = self.cfg.hidden, self.p["u"]
-        zr = sigmoid(gates[:, : 2 * h] + state @ u[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        new = np.tanh(gates[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
-        return new + z * (state - new), z, r, new
-
-    def by_class(self, states: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """class, tokens of it, their places, and the logarithms of P(word | class)."""
-        which = target // self.cfg.of_class
-        order = np.argsort(which, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
-            c = int(which[some[0]])
-            yield c, some, target[some] % self.cfg.of_class, log_softmax(states[some] @ self.p["out"][c] + self.p["out_b"][c])
+        with np.errstate(over="ignore"):  # a gate of e to such a number is shut
+            zr = np.exp(-(gates[:, : 2 * h] + state @ u[:, : 2 * h]))
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        new = (zr[:, h:] * state) @ u[:, 2 * h :]
+        new += gates[:, 2 * h :]
+        np.tanh(new, out=new)
+        return new + zr[:, :h] * (state - new)
 
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms. Sums of exponentials alone: of no class or word but the target's a logarithm is taken."""
@@ -149,54 +159,87 @@ class Net:
         p, h = self.p, self.cfg.hidden
         steps, lanes = x.shape
         n = max(1, int(use.sum()))
-        inputs = p["word"][x]
-        gates = inputs @ p["wx"] + p["b"]
-        states, saved = np.empty((steps, lanes, h), gates.dtype), []
-        for t in range(steps):
-            state = state * ~first[t][:, None]
-            before = state
-            state, z, r, new = self.advance(gates[t], before)
-            saved.append((before, z, r, new))
-            states[t] = state
+        inputs, u = p["word"][x], np.ascontiguousarray(p["u"].T)
+        # lanes stand side by side, so that the gates' parts lie together
+        gates = np.matmul(np.ascontiguousarray(p["wx"].T), inputs.transpose(0, 2, 1)) + p["b"][:, None]
+        go_on = (~first).astype(gates.dtype)[:, None]
+        both, news, befores, states = np.empty((steps, 2 * h, lanes), gates.dtype), *(np.empty((steps, h, lanes), gates.dtype) for _ in range(3))
+        u_both, u_new, rs, state = -u[: 2 * h], u[2 * h :], np.empty((h, lanes), gates.dtype), state.T
+        np.negative(gates[:, : 2 * h], out=gates[:, : 2 * h])
+        with np.errstate(over="ignore"):  # a gate of e to such a number is shut
+            for t in range(steps):
+                before, zr, new = befores[t], both[t], news[t]
+                np.multiply(state, go_on[t], out=before)
+                np.matmul(u_both, before, out=zr)
+                zr += gates[t, : 2 * h]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[h:], before, out=rs)
+                np.matmul(u_new, rs, out=new)
+                new += gates[t, 2 * h :]
+                np.tanh(new, out=new)
+                state = states[t]
+                np.subtract(before, new, out=state)
+                state *= zr[:h]
+                state += new
         at = np.flatnonzero(use.ravel())
-        s, target = states.reshape(-1, h)[at], y.ravel()[at]
-        which, rows = target // self.cfg.of_class, np.arange(len(at))
-        lp = log_softmax(s @ p["class"] + p["class_b"])
-        loss = -lp[rows, which].sum()
-        d = np.exp(lp)
-        d[rows, which] -= 1
-        d /= n
-        g = {"class": s.T @ d, "class_b": d.sum(0), "out": np.zeros_like(p["out"]), "out_b": np.zeros_like(p["out_b"])}
+        target = y.ravel()[at]
+        which, place = np.divmod(target, self.cfg.of_class)
+        order = np.argsort(which, kind="stable")  # from here on the tokens stand by class
+        at, which, place = at[order], which[order], place[order]
+        rows, s = np.arange(len(at)), np.ones((len(at), h + 1), gates.dtype)
+        s[:, :h] = states.transpose(0, 2, 1).reshape(-1, h)[at]  # the biases are one more row
+        loss, d = surprise(s @ np.concatenate([p["class"], p["class_b"][None]]), rows, which, n)
+        by_class = s.T @ d
+        by_word = np.zeros((self.cfg.classes, h + 1, self.cfg.of_class), gates.dtype)
         ds = d @ p["class"].T
-        for c, some, place, lp in self.by_class(s, target) if len(target) else ():
-            loss -= lp[np.arange(len(some)), place].sum()
-            d = np.exp(lp)
-            d[np.arange(len(some)), place] -= 1
-            d /= n
-            g["out"][c], g["out_b"][c] = s[some].T @ d, d.sum(0)
-            ds[some] += d @ p["out"][c].T
+        if len(at):
+            # a class's tokens in strips of STRIP, the last one filled up with zeros, so that all classes are gone through at once
+            counts = np.bincount(which, minlength=self.cfg.classes)
+            strips = -(-counts // STRIP)
+            ends = np.cumsum(strips) * STRIP
+            of = np.repeat(np.arange(self.cfg.classes), strips)
+            slot = rows + np.repeat(ends - strips * STRIP - (np.cumsum(counts) - counts), counts)
+            filled = np.zeros((len(of) * STRIP, h + 1), s.dtype)
+            filled[slot] = s
+            out = np.concatenate([p["out"], p["out_b"][:, None]], 1)[of]
+            more, d = surprise((filled.reshape(-1, STRIP, h + 1) @ out).reshape(-1, self.cfg.of_class), slot, place, n)
+            loss += more
+            for c in np.flatnonzero(strips).tolist():
+                some = slice(ends[c] - strips[c] * STRIP, ends[c])
+                np.matmul(filled[some].T, d[some], out=by_word[c])
+            ds += (d.reshape(-1, STRIP, self.cfg.of_class) @ out[:, :h].transpose(0, 2, 1)).reshape(-1, h)[slot]
+        g = {"class": by_class[:h], "class_b": by_class[h], "out": by_word[:, :h], "out_b": by_word[:, h]}
         back = np.zeros((steps * lanes, h), gates.dtype)
         back[at] = ds
-        back = back.reshape(steps, lanes, h)
-        u, du, dgates, carry = p["u"], np.zeros_like(p["u"]), np.empty_like(gates), np.zeros((lanes, h), gates.dtype)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, h).transpose(0, 2, 1))
+        z, r = both[:, :h], both[:, h:]
+        by_new, by_z, by_r = (1 - z) * (1 - news * news), (befores - news) * z * (1 - z), befores * r * (1 - r)
+        dgates, carry, drs = np.empty_like(gates), np.zeros((h, lanes), gates.dtype), np.empty((h, lanes), gates.dtype)
+        u_both, u_new = np.ascontiguousarray(p["u"][:, : 2 * h]), np.ascontiguousarray(p["u"][:, 2 * h :])
         for t in range(steps - 1, -1, -1):
-            before, z, r, new = saved[t]
-            dh = carry + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            drs = dnew @ u[:, 2 * h :].T
-            dzr = np.concatenate([dz, drs * before * r * (1 - r)], 1)
-            dgates[t, :, : 2 * h], dgates[t, :, 2 * h :] = dzr, dnew
-            du[:, 2 * h :] += (r * before).T @ dnew
-            du[:, : 2 * h] += before.T @ dzr
-            carry = (dh * z + drs * r + dzr @ u[:, : 2 * h].T) * ~first[t][:, None]
-        flat = dgates.reshape(-1, 3 * h)
-        g |= {"u": du, "b": flat.sum(0), "wx": inputs.reshape(-1, inputs.shape[-1]).T @ flat}
+            dt, dh = dgates[t], back[t]
+            dh += carry
+            dnew = np.multiply(dh, by_new[t], out=dt[2 * h :])
+            np.matmul(u_new, dnew, out=drs)
+            np.multiply(dh, by_z[t], out=dt[:h])
+            np.multiply(drs, by_r[t], out=dt[h : 2 * h])
+            np.matmul(u_both, dt[: 2 * h], out=carry)
+            dh *= z[t]
+            drs *= r[t]
+            carry += dh
+            carry += drs
+            carry *= go_on[t]
+        flat, befores, rs = (np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(steps * lanes, -1) for x in (dgates, befores, r * befores))
+        du = np.concatenate([befores.T @ flat[:, : 2 * h], rs.T @ flat[:, 2 * h :]], 1)
+        g |= {"u": du, "b": np.ones(len(flat), flat.dtype) @ flat, "wx": inputs.reshape(-1, inputs.shape[-1]).T @ flat}
         dx = flat @ p["wx"].T
-        seen, where = np.unique(x.ravel(), return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        g["word"] = (seen, np.add.reduceat(dx[order], np.searchsorted(where[order], np.arange(len(seen))), axis=0))
-        return float(loss) / n, g, state
+        order = np.argsort(x.ravel(), kind="stable")
+        seen = x.ravel()[order]
+        begins = np.flatnonzero(np.diff(seen, prepend=-1))
+        g["word"] = (seen[begins], np.add.reduceat(dx[order], begins, axis=0))
+        return float(loss) / n, g, state.T
 
 
 class Adagrad:
@@ -225,7 +268,8 @@ def learn(net: Net, texts: Iterator[np.ndarray]) -> int:
     lanes: list = [None] * cfg.lanes
     state, best = np.zeros((cfg.lanes, cfg.hidden), np.float32), Adagrad(net)
     while True:
-        x, y = np.zeros((cfg.steps, cfg.lanes), np.int64), np.zeros((cfg.steps, cfg.lanes), np.int64)
+        # a row a lane, turned below
+        x, y = np.zeros((cfg.lanes, cfg.steps), np.int32), np.zeros((cfg.lanes, cfg.steps), np.int32)
         first, use = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
         for b in range(cfg.lanes):
             t = 0
@@ -233,13 +277,16 @@ def learn(net: Net, texts: Iterator[np.ndarray]) -> int:
                 if lanes[b] is None:
                     if (lane := next(texts, None)) is None:
                         break
-                    lanes[b], first[t, b] = lane, True
+                    lanes[b], first[b, t] = lane, True
                 before, text = lanes[b]
                 some = text[: cfg.steps - t]
-                y[t : t + len(some), b], use[t : t + len(some), b] = some, True
-                x[t, b], x[t + 1 : t + len(some), b] = before, some[:-1]
-                t += len(some)
-                lanes[b] = (int(some[-1]), text[len(some) :]) if len(some) < len(text) else None
+                end = t + len(some)
+                y[b, t:end], x[b, t] = some, before
+                x[b, t + 1 : end] = some[:-1]
+                use[b, t:end] = True
+                t = end
+                lanes[b] = (some[-1], text[len(some) :]) if len(some) < len(text) else None
+        x, y, first, use = (np.ascontiguousarray(part.T) for part in (x, y, first, use))
         if not use.any():
             return seen
         _, g, state = net.gradients(x, y, first, use, state)
@@ -277,7 +324,7 @@ def log_likelihoods(net: Net, texts: list[np.ndarray], table: np.ndarray, width:
         hi, states = min(lo + window, steps), []
         for t in range(lo, hi):
             n = active[t]
-            state = net.advance(table[x[t, :n]], state[:n] * ~first[t, :n][:, None])[0]
+            state = net.advance(table[x[t, :n]], state[:n] * ~first[t, :n][:, None])
             states.append(state)
         target = np.concatenate([y[t, : active[t]] for t in range(lo, hi)])
         who = np.concatenate([owner[t, : active[t]] for t in range(lo, hi)])
@@ -376,25 +423,25 @@ def fit(docs: DataFrame, scratch: Scratch, cfg: Recurrent = Recurrent()) -> tupl
     model = Model(cfg, total.n, total.v, [w for w, _ in head], np.array([n for _, n in head], np.int64), own)
     if not model.tokens or not own:
         return model, counts
-    # training texts as word numbers, by round, in a written table
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(cfg.share)).cast("int")
-    some = rows.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("o"), at.alias("turn")).filter(F.col("turn") < cfg.rounds)
-    words = spark.sparkContext.broadcast((uuid.uuid4().hex, model.head[:own]))
+    # every training text as word numbers, by part, in a written table
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(cfg.share)).cast("int")
+    dealt = rows.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("o"), part.alias("turn"))
+    words, kind = spark.sparkContext.broadcast((uuid.uuid4().hex, model.head[:own])), cfg.kind
 
     def numbered():
         name, head = words.value
         number = held(("numbers", name), lambda: {w: i + 1 for i, w in enumerate(head)})
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.array([number.get(w, 0) for w in words_of(t)] + [number[END]], "<i4").tobytes() for t in raw_texts(batch)]
+            ids = [np.array([number.get(w, 0) for w in words_of(t)] + [number[END]], kind).tobytes() for t in raw_texts(batch)]
             return pa.record_batch({c: batch.column(c) for c in ("doc_id", "o", "turn")} | {"ids": pa.array(ids, pa.binary())})
 
         return step
 
-    texts = scratch.keep(map_rows(some, numbered, "doc_id long, o long, turn int, ids binary"))
+    texts = scratch.keep(map_rows(dealt, numbered, "doc_id long, o long, turn int, ids binary"))
     tasks = cfg.tasks or max(1, spark.sparkContext.defaultParallelism)
     for turn in range(cfg.rounds):
-        model.params = one_round(texts.filter(F.col("turn") == turn), model, tasks, turn)
+        model.params = one_round(texts.filter(F.col("turn") == turn % cfg.share), model, tasks, turn)
     return model, counts
 
 
@@ -411,7 +458,7 @@ def one_round(texts: DataFrame, model: Model, tasks: int, turn: int) -> np.ndarr
             for batch in batches:
                 for p, x in zip(batch.column("part"), batch.column("ids")):
                     part or part.append(p.as_py())
-                    yield np.frombuffer(x.as_py(), "<i4")
+                    yield np.frombuffer(x.as_py(), cfg.kind)
 
         net = Net(cfg, np.ones(cfg.words)).fill(shared.value[0])
         if n := learn(net, ids()):

@@ -139,6 +139,34 @@ def test_rows_by_hand(spark, rows, cfg):
     assert all(abs(own[(r.doc_id, r.n_tokens)] - r.score) < 1e-3 * max(1, abs(r.score)) for r in got if own[(r.doc_id, r.n_tokens)] is not None)
 
 
+@pytest.mark.parametrize("cfg", [SMALL, lm.Recurrent(tasks=2)])
+def test_every_training_document_is_learned_from(spark, rows, cfg, monkeypatch):
+    """By default as well: no part of the training documents is left out, and none is learned from more often than others."""
+    seen, average = Counter(), lm.one_round
+
+    def watch(texts, *more):
+        seen.update(r.doc_id for r in texts.collect())
+        return average(texts, *more)
+
+    monkeypatch.setattr(lm, "one_round", watch)
+    with Scratch(spark) as scratch:
+        lm.fit(docs(spark, rows), scratch, cfg)
+    assert seen == Counter(i for i, _ in rows if i is not None and not held_out(i))
+
+
+def test_no_setting_leaves_training_documents_out():
+    with pytest.raises(ValueError):
+        lm.Recurrent(rounds=4, share=32)
+
+
+def test_softmax_of_far_logits():
+    logits = np.array([[-200.0, -201.0], [500.0, 0.0], [1.0, 2.0], [90.0, 90.0]], np.float32)
+    at, want = np.array([1, 1, 0, 1]), [-1 - math.log1p(math.exp(-1)), -500, -1 - math.log1p(math.exp(-1)), -math.log(2)]
+    assert np.allclose(lm.target_log(logits.copy(), at), want, rtol=1e-5)
+    loss, d = lm.surprise(logits.copy(), np.arange(4), at, 4)
+    assert abs(loss + sum(want)) < 1e-3 and np.isfinite(d).all() and np.allclose(d.sum(1), 0, atol=1e-6)
+
+
 def test_odd_tables(spark):
     assert lm.fit_and_score(docs(spark, []), SMALL).collect() == []
     alone = next(i for i in range(100) if held_out(i))
