@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import doc_rows, held, map_rows, raw_texts
+from foliant.llm.common import doc_rows, held, portions, raw_texts
 
 #: Unicode white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -51,6 +51,8 @@ LONGEST = 64
 SHORT = 24
 #: Bytes of a text that are read at once.
 PORTION = 1 << 18
+#: Bytes of texts whose ids a worker holds and hands on together.
+TOGETHER = 2 << 20
 WHITE = b" \t\n\r\x0b\x0c"
 NO_RULE = 1 << 60
 SLOTS = 1 << 18
@@ -481,7 +483,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit, binary; left out on request), ids_sha256, decoded_sha256."""
     schema = "doc_id long, n_tokens long, " + ("ids binary, " if ids else "") + "ids_sha256 string, decoded_sha256 string"
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -504,6 +506,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | ({"ids": pa.array(raw, pa.binary())} if ids else {})
             return pa.record_batch(columns | {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
-        return step
+        for batch in batches:
+            yield from map(step, portions(batch, TOGETHER))
 
-    return map_rows(doc_rows(docs), start, schema)
+    return doc_rows(docs).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +119,15 @@ def raw(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def portions(batch: pa.RecordBatch, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch's rows in turn, so many at once that their texts have at most ``size`` bytes, and one at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def doc_rows(docs: DataFrame) -> DataFrame:
     """Only the two columns that are read; others, whatever their names, stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -640,3 +640,26 @@ def test_decontamination_is_the_same_in_blocks(spark):
     clean = decontaminate.decontaminate(table, bench, cfg)
     assert clean.columns == table.columns and plain(clean) == want
     assert all(not r.spans for r in decontaminate.find_leaks(clean, bench, cfg).collect())
+
+
+def test_bpe_hands_ids_on_in_small_batches(monkeypatch):
+    """A worker doesn't hold the ids of a whole Arrow batch of texts; rows, order and ids are those of each text alone."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(bpe, "doc_rows", lambda docs: docs)
+    texts = [None, "", *(f"word{k % 7} of text {k} " * 150 for k in range(3_000)), "long " * 600_000, None]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    out = list(bpe.encode_documents(Frame(), path)(iter([batch, batch.slice(0, 0)])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(texts[i] or "") for i in b.column("doc_id").to_pylist()) <= 2 << 20 for b in out) and len(out) > 4
+    encoder = bpe.loaded(path)
+    for b in out:
+        for i, ids, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "n_tokens"))):
+            if i < 20 or i > 2_990:
+                want = b"".join(next(iter(encoder.encode_all([(texts[i] or "").encode()]))))
+                assert ids == want and n == len(np.frombuffer(want, "<u4")), i
