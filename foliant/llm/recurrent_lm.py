@@ -1,7 +1,7 @@
 """Language-model scoring: a gated recurrent network with a class-factored softmax, beside smoothed counts of every word.
 
 **Counts.** Every training document is counted: tasks send their words' counts, which are added up by word. The words of ``head`` highest counts go to the tasks; what a task meets beyond them it returns with its document, and a join finds their
-counts. So every token has its true count at every size.
+counts. So every token has its true count at every size. Texts are then split once more, into a written table of word numbers that training and scoring share.
 
 **Network.** The ``classes * of_class - 1`` most frequent words, the end of text among them, are the network's; all others are its unknown word, whose probability is shared out by their counts, smoothed like the base score. Words are dealt to
 classes by frequency; P(word) = P(class) P(word | class). Before training the output's biases are the logarithms of the counts, so that an untrained network is the smoothed unigram model.
@@ -25,7 +25,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, cut, doc_rows, held, map_rows, raw_texts
+from foliant.llm.common import Scratch, cut, doc_rows, held, portions, raw, raw_texts
 
 END = b"\n"  # no word holds it
 BLOCK = 1_024  # parameters that are averaged together
@@ -76,6 +76,11 @@ class Recurrent:
         return "<u2" if self.words <= 1 << 16 else "<i4"
 
 
+def by_key(key: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of small numbers; those of 16 bits are sorted by their digits."""
+    return np.argsort(key.astype(np.uint16) if below <= 1 << 16 else key, kind="stable")
+
+
 def exponentials(logits: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The logits at one place of some rows, and all rows' sums of exponentials, which take the logits' place. Where a sum might overflow or vanish, rows are brought down by their largest first."""
     if logits.size and not -60 < logits.min() <= logits.max() < 60:
@@ -130,17 +135,32 @@ class Net:
             at += x.size
         return self
 
-    def advance(self, gates: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """The state after one word."""
-        h, u = self.cfg.hidden, self.p["u"]
+    def states(self, gates: np.ndarray, first: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after each word, and the gates that made them: z and r, and what is new. gates: steps x parts x lanes, used up; lanes stand side by side, so that the gates' parts lie together. Where a text starts (first, steps x lanes) the state before (parts x lanes) doesn't count."""
+        h, (steps, _, lanes) = self.cfg.hidden, gates.shape
+        u = np.ascontiguousarray(self.p["u"].T)
+        u_both, u_new, rs = -u[: 2 * h], u[2 * h :], np.empty((h, lanes), gates.dtype)
+        both, (news, states) = np.empty((steps, 2 * h, lanes), gates.dtype), (np.empty((steps, h, lanes), gates.dtype) for _ in range(2))
+        starts = first.any(1).tolist()
+        np.negative(gates[:, : 2 * h], out=gates[:, : 2 * h])
         with np.errstate(over="ignore"):  # a gate of e to such a number is shut
-            zr = np.exp(-(gates[:, : 2 * h] + state @ u[:, : 2 * h]))
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        new = (zr[:, h:] * state) @ u[:, 2 * h :]
-        new += gates[:, 2 * h :]
-        np.tanh(new, out=new)
-        return new + zr[:, :h] * (state - new)
+            for gate, zr, z, r, new, after, start, at in zip(gates, both, both[:, :h], both[:, h:], news, states, starts, first):
+                if start:
+                    state = state * ~at
+                np.matmul(u_both, state, out=zr)
+                zr += gate[: 2 * h]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(r, state, out=rs)
+                np.matmul(u_new, rs, out=new)
+                new += gate[2 * h :]
+                np.tanh(new, out=new)
+                np.subtract(state, new, out=after)
+                after *= z
+                after += new
+                state = after
+        return states, both, news
 
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms. Sums of exponentials alone: of no class or word but the target's a logarithm is taken."""
@@ -148,7 +168,7 @@ class Net:
         p, ones = self.p, np.ones((len(states), 1), states.dtype)
         states = np.concatenate([states, ones], 1)  # the biases as one more row
         out = target_log(states @ np.concatenate([p["class"], p["class_b"][None]]), which)
-        order = np.argsort(which, kind="stable")
+        order = by_key(which, self.cfg.classes)
         for some in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else ():
             c = which[some[0]]
             out[some] += target_log(states[some] @ np.concatenate([p["out"][c], p["out_b"][c][None]]), place[some])
@@ -159,34 +179,16 @@ class Net:
         p, h = self.p, self.cfg.hidden
         steps, lanes = x.shape
         n = max(1, int(use.sum()))
-        inputs, u = p["word"][x], np.ascontiguousarray(p["u"].T)
-        # lanes stand side by side, so that the gates' parts lie together
+        inputs = p["word"][x]
         gates = np.matmul(np.ascontiguousarray(p["wx"].T), inputs.transpose(0, 2, 1)) + p["b"][:, None]
-        go_on = (~first).astype(gates.dtype)[:, None]
-        both, news, befores, states = np.empty((steps, 2 * h, lanes), gates.dtype), *(np.empty((steps, h, lanes), gates.dtype) for _ in range(3))
-        u_both, u_new, rs, state = -u[: 2 * h], u[2 * h :], np.empty((h, lanes), gates.dtype), state.T
-        np.negative(gates[:, : 2 * h], out=gates[:, : 2 * h])
-        with np.errstate(over="ignore"):  # a gate of e to such a number is shut
-            for t in range(steps):
-                before, zr, new = befores[t], both[t], news[t]
-                np.multiply(state, go_on[t], out=before)
-                np.matmul(u_both, before, out=zr)
-                zr += gates[t, : 2 * h]
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                np.multiply(zr[h:], before, out=rs)
-                np.matmul(u_new, rs, out=new)
-                new += gates[t, 2 * h :]
-                np.tanh(new, out=new)
-                state = states[t]
-                np.subtract(before, new, out=state)
-                state *= zr[:h]
-                state += new
+        go_on, state = (~first).astype(gates.dtype)[:, None], np.ascontiguousarray(state.T)
+        states, both, news = self.states(gates, first, state)
+        befores = np.concatenate([state[None], states[:-1]])
+        befores *= go_on
         at = np.flatnonzero(use.ravel())
         target = y.ravel()[at]
         which, place = np.divmod(target, self.cfg.of_class)
-        order = np.argsort(which, kind="stable")  # from here on the tokens stand by class
+        order = by_key(which, self.cfg.classes)  # from here on the tokens stand by class
         at, which, place = at[order], which[order], place[order]
         rows, s = np.arange(len(at)), np.ones((len(at), h + 1), gates.dtype)
         s[:, :h] = states.transpose(0, 2, 1).reshape(-1, h)[at]  # the biases are one more row
@@ -214,45 +216,58 @@ class Net:
         back = np.zeros((steps * lanes, h), gates.dtype)
         back[at] = ds
         back = np.ascontiguousarray(back.reshape(steps, lanes, h).transpose(0, 2, 1))
-        z, r = both[:, :h], both[:, h:]
-        by_new, by_z, by_r = (1 - z) * (1 - news * news), (befores - news) * z * (1 - z), befores * r * (1 - r)
-        dgates, carry, drs = np.empty_like(gates), np.zeros((h, lanes), gates.dtype), np.empty((h, lanes), gates.dtype)
+        r, shut = both[:, h:], 1 - both
+        by_new, by_both = shut[:, :h] * (1 - news * news), np.concatenate([befores - news, befores], 1)
+        by_both *= both
+        by_both *= shut
+        dgates, carry, through = np.empty_like(gates), np.zeros((h, lanes), gates.dtype), np.empty((2 * h, lanes), gates.dtype)
+        dh, drs = through[:h], through[h:]
         u_both, u_new = np.ascontiguousarray(p["u"][:, : 2 * h]), np.ascontiguousarray(p["u"][:, 2 * h :])
+        starts = first.any(1).tolist()
         for t in range(steps - 1, -1, -1):
-            dt, dh = dgates[t], back[t]
-            dh += carry
+            dt = dgates[t]
+            np.add(back[t], carry, out=dh)
             dnew = np.multiply(dh, by_new[t], out=dt[2 * h :])
             np.matmul(u_new, dnew, out=drs)
-            np.multiply(dh, by_z[t], out=dt[:h])
-            np.multiply(drs, by_r[t], out=dt[h : 2 * h])
+            np.multiply(through, by_both[t], out=dt[: 2 * h])
             np.matmul(u_both, dt[: 2 * h], out=carry)
-            dh *= z[t]
-            drs *= r[t]
+            through *= both[t]
             carry += dh
             carry += drs
-            carry *= go_on[t]
+            if starts[t]:
+                carry *= go_on[t]
         flat, befores, rs = (np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(steps * lanes, -1) for x in (dgates, befores, r * befores))
         du = np.concatenate([befores.T @ flat[:, : 2 * h], rs.T @ flat[:, 2 * h :]], 1)
         g |= {"u": du, "b": np.ones(len(flat), flat.dtype) @ flat, "wx": inputs.reshape(-1, inputs.shape[-1]).T @ flat}
         dx = flat @ p["wx"].T
-        order = np.argsort(x.ravel(), kind="stable")
+        order = by_key(x.ravel(), self.cfg.words)
         seen = x.ravel()[order]
         begins = np.flatnonzero(np.diff(seen, prepend=-1))
         g["word"] = (seen[begins], np.add.reduceat(dx[order], begins, axis=0))
-        return float(loss) / n, g, state.T
+        return float(loss) / n, g, states[-1].T
 
 
 class Adagrad:
-    """Steps by the root of the gradients' squares so far; of the word vectors only those that were met."""
+    """Steps by the root of the gradients' squares so far; of the word vectors only those that were met. The net's other parameters become parts of one array, so that a step goes through them at once."""
 
     def __init__(self, net: Net):
-        self.net, self.sums = net, {k: np.full_like(x, net.cfg.start) for k, x in net.p.items()}
+        self.net, self.dense = net, [k for k in net.p if k != "word"]
+        self.flat, at = np.concatenate([net.p[k].ravel() for k in self.dense]), 0
+        for k in self.dense:
+            net.p[k] = self.flat[at : at + net.p[k].size].reshape(net.p[k].shape)
+            at += net.p[k].size
+        self.sums, self.word_sums = np.full_like(self.flat, net.cfg.start), np.full_like(net.p["word"], net.cfg.start)
 
     def step(self, g: dict) -> None:
-        for k, x in g.items():
-            at, x = x if isinstance(x, tuple) else (slice(None), x)
-            self.sums[k][at] += x * x
-            self.net.p[k][at] -= self.net.cfg.rate * x / np.sqrt(self.sums[k][at])
+        self.flat -= self.moved(np.concatenate([g[k].ravel() for k in self.dense]), self.sums, slice(None))
+        at, x = g["word"]
+        self.net.p["word"][at] -= self.moved(x, self.word_sums, at)
+
+    def moved(self, x: np.ndarray, sums: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        sums[at] += x * x
+        x = self.net.cfg.rate * x
+        x /= np.sqrt(sums[at])
+        return x
 
 
 def pieces(texts: Iterator[np.ndarray], size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -262,36 +277,48 @@ def pieces(texts: Iterator[np.ndarray], size: int) -> Iterator[tuple[int, np.nda
             yield int(text[k - 1]), text[k : k + size]  # before the first word stands the end
 
 
-def learn(net: Net, texts: Iterator[np.ndarray]) -> int:
-    """Runs the texts (word numbers with the end's last) through the lanes once; the tokens learned from."""
-    cfg, seen, texts = net.cfg, 0, pieces(texts, net.cfg.piece)
-    lanes: list = [None] * cfg.lanes
-    state, best = np.zeros((cfg.lanes, cfg.hidden), np.float32), Adagrad(net)
+def windows(texts: Iterator[np.ndarray], cfg: Recurrent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """x, y, first, use of Net.gradients: the pieces of the texts dealt to lanes, the next one to the lane that is the first to be read to its end. Lanes that fill the window are read together."""
+    texts, steps = pieces(texts, cfg.piece), np.arange(cfg.steps)[:, None]
+    words = np.zeros((cfg.lanes, cfg.piece + 1 + cfg.steps), np.int32)  # of the lanes' pieces, behind the words before them
+    flat, row = words.ravel(), np.arange(cfg.lanes) * words.shape[1]
+    at, left = np.zeros(cfg.lanes, np.int64), np.zeros(cfg.lanes, np.int64)
     while True:
-        # a row a lane, turned below
-        x, y = np.zeros((cfg.lanes, cfg.steps), np.int32), np.zeros((cfg.lanes, cfg.steps), np.int32)
+        full = left >= cfg.steps
+        place = row + np.where(full, at, 0) + steps
+        x, y = flat[place], flat[place + 1]
         first, use = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
-        for b in range(cfg.lanes):
-            t = 0
+        use[:, full] = True
+        at[full] += cfg.steps
+        left[full] -= cfg.steps
+        for b in np.flatnonzero(~full).tolist():
+            t, k, n = 0, int(at[b]), int(left[b])
             while t < cfg.steps:
-                if lanes[b] is None:
-                    if (lane := next(texts, None)) is None:
+                if not n:
+                    if (piece := next(texts, None)) is None:
                         break
-                    lanes[b], first[b, t] = lane, True
-                before, text = lanes[b]
-                some = text[: cfg.steps - t]
-                end = t + len(some)
-                y[b, t:end], x[b, t] = some, before
-                x[b, t + 1 : end] = some[:-1]
-                use[b, t:end] = True
-                t = end
-                lanes[b] = (some[-1], text[len(some) :]) if len(some) < len(text) else None
-        x, y, first, use = (np.ascontiguousarray(part.T) for part in (x, y, first, use))
+                    before, text = piece
+                    k, n, first[t, b] = 0, len(text), True
+                    words[b, 0], words[b, 1 : n + 1] = before, text
+                some = min(n, cfg.steps - t)
+                x[t : t + some, b], y[t : t + some, b] = words[b, k : k + some], words[b, k + 1 : k + some + 1]
+                t, k, n = t + some, k + some, n - some
+            at[b], left[b] = k, n
+            x[t:, b] = y[t:, b] = 0
+            use[:t, b] = True
         if not use.any():
-            return seen
+            return
+        yield x, y, first, use
+
+
+def learn(net: Net, texts: Iterator[np.ndarray]) -> int:
+    """Runs the texts (word numbers with the end's last) through the lanes once; the tokens learned from."""
+    seen, state, best = 0, np.zeros((net.cfg.lanes, net.cfg.hidden), np.float32), Adagrad(net)
+    for x, y, first, use in windows(texts, net.cfg):
         _, g, state = net.gradients(x, y, first, use, state)
         best.step(g)
         seen += int(use.sum())
+    return seen
 
 
 def log_likelihoods(net: Net, texts: list[np.ndarray], table: np.ndarray, width: int = 256, at_once: int = 16_384) -> np.ndarray:
@@ -317,18 +344,18 @@ def log_likelihoods(net: Net, texts: list[np.ndarray], table: np.ndarray, width:
             y[at : at + len(t), b], owner[at : at + len(t), b], first[at, b] = t, k, True
             x[at, b], x[at + 1 : at + len(t), b] = t[-1], t[:-1]
             at += len(t)
-    out, state = np.zeros(len(texts)), np.zeros((len(lanes), net.cfg.hidden), np.float32)
+    out, state = np.zeros(len(texts)), np.zeros((net.cfg.hidden, len(lanes)), np.float32)
     active = np.searchsorted(-size, -np.arange(steps), side="left")  # lanes longer than the step
     window = max(1, at_once // len(lanes))
     for lo in range(0, steps, window):
-        hi, states = min(lo + window, steps), []
-        for t in range(lo, hi):
-            n = active[t]
-            state = net.advance(table[x[t, :n]], state[:n] * ~first[t, :n][:, None])
-            states.append(state)
-        target = np.concatenate([y[t, : active[t]] for t in range(lo, hi)])
-        who = np.concatenate([owner[t, : active[t]] for t in range(lo, hi)])
-        out += np.bincount(who, net.log_p(np.concatenate(states), target), len(texts))
+        n = active[lo]
+        x_, y_, owner_, first_ = (part[lo : lo + window, :n] for part in (x, y, owner, first))
+        states, _, _ = net.states(np.ascontiguousarray(table[x_].transpose(0, 2, 1)), first_, state[:, :n])
+        state, rows = states[-1], states.transpose(0, 2, 1).reshape(-1, net.cfg.hidden)
+        use = np.flatnonzero(np.arange(n) < active[lo : lo + window, None])  # lanes that end inside the window are read on to its end, for nothing
+        if len(use) < len(rows):
+            rows = rows[use]
+        out += np.bincount(owner_.ravel()[use], net.log_p(rows, y_.ravel()[use]), len(texts))
     return out
 
 
@@ -379,10 +406,9 @@ def count_words(docs: DataFrame, cfg: Recurrent) -> DataFrame:
         seen: Counter = Counter()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
+            words, times = list(seen), list(seen.values())
             for k in range(0, len(words), 50_000):
-                some = words[k : k + 50_000]
-                yield pa.record_batch({"word": pa.array(some, pa.binary()).cast(pa.string()), "n": pa.array([seen[w] for w in some], pa.int64())})
+                yield pa.record_batch({"word": pa.array(words[k : k + 50_000], pa.binary()).cast(pa.string()), "n": pa.array(times[k : k + 50_000], pa.int64())})
 
         for batch in batches:
             for text in raw_texts(batch):
@@ -411,38 +437,79 @@ def head_of(counts: DataFrame, cfg: Recurrent) -> list[tuple[bytes, int]]:
     return sorted(((r.word.encode(), r.n) for r in able.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def fit(docs: DataFrame, scratch: Scratch, cfg: Recurrent = Recurrent()) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words as a written table."""
-    spark = docs.sparkSession
-    rows = doc_rows(docs).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % cfg.folds != 0)
-    counts = scratch.keep(count_words(rows, cfg))
+def learned_from(rows: DataFrame, cfg: Recurrent) -> DataFrame:
+    return rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % cfg.folds != 0)
+
+
+def counted(docs: DataFrame, scratch: Scratch, cfg: Recurrent) -> tuple[Model, DataFrame]:
+    """A model without a network, and the counts of all words as a written table."""
+    counts = scratch.keep(count_words(learned_from(doc_rows(docs), cfg), cfg))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = head_of(counts, cfg)
     head.sort(key=lambda x: x[0] != END)  # the end is the network's in any case
-    own = min(len(head), cfg.words - 1)
-    model = Model(cfg, total.n, total.v, [w for w, _ in head], np.array([n for _, n in head], np.int64), own)
-    if not model.tokens or not own:
-        return model, counts
-    # every training text as word numbers, by part, in a written table
+    return Model(cfg, total.n, total.v, [w for w, _ in head], np.array([n for _, n in head], np.int64), min(len(head), cfg.words - 1)), counts
+
+
+def numbered(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """Of doc_rows, as a written table, so that texts are split into words once for training and scoring: the network's numbers of a text's words with the end's last, what the head's words add to the sums, and the words beyond the head with their counts.
+    o and turn: a text's place in training."""
+    cfg, shared = model.cfg, rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, model = shared.value
+        get, unknown = held(("numbers", name), lambda: {w: i for i, w in enumerate(model.head)}).get, len(model.head)
+        counts = model.counts + cfg.smooth
+        base, inside = np.log10(counts / model.base_total()), np.log10(counts / model.rest_total())
+        inside[: model.own] = 0  # the network's own words
+        base, inside = np.append(base, 0), np.append(inside, 0)
+        own = np.append(np.arange(1, model.own + 1), np.zeros(unknown + 1 - model.own)).astype(cfg.kind)
+        row = uuid.uuid4().int >> 65
+        for batch in batches:
+            for some in portions(batch, 1 << 20):
+                words, ends = [], []
+                for text in raw_texts(some):
+                    words += words_of(text)
+                    words.append(END)
+                    ends.append(len(words))
+                ids = np.fromiter(map(get, words, repeat(unknown)), np.int64, len(words))
+                begins = np.array([0, *ends[:-1]])
+                beyond = np.flatnonzero(ids == unknown)
+                bounds, rest, times, many = np.searchsorted(beyond, [0, *ends]).tolist(), [], [], [0]
+                beyond = [words[k] for k in beyond.tolist()]
+                for lo, hi in zip(bounds, bounds[1:]):
+                    if lo < hi:
+                        found = Counter(beyond[lo:hi])
+                        rest += found
+                        times += found.values()
+                    many.append(len(rest))
+                pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+                sizes = np.array([0, *ends], np.int32) * np.dtype(cfg.kind).itemsize
+                yield pa.record_batch({c: some.column(c) for c in ("doc_id", "tk", "o", "turn")} | {
+                    "row": pa.array(np.arange(row, row + len(ends))), "n_tokens": pa.array(np.diff(ends, prepend=0)), "n_known": pa.array(np.add.reduceat(ids != unknown, begins, dtype=np.int64)),
+                    "base": pa.array(np.add.reduceat(base[ids], begins)), "inside": pa.array(np.add.reduceat(inside[ids], begins)),
+                    "ids": pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(sizes), pa.py_buffer(own[ids])]), "rest": pa.ListArray.from_arrays(pa.array(many, pa.int32()), pairs),
+                })
+                row += len(ends)
+
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(cfg.share)).cast("int")
-    dealt = rows.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("o"), part.alias("turn"))
-    words, kind = spark.sparkContext.broadcast((uuid.uuid4().hex, model.head[:own])), cfg.kind
+    dealt = rows.select("doc_id", "text", F.xxhash64("text").alias("tk"), F.xxhash64("text", "doc_id").alias("o"), part.alias("turn"))
+    return scratch.keep(dealt.mapInArrow(run, "doc_id long, tk long, o long, turn int, row long, n_tokens long, n_known long, base double, inside double, ids binary, rest array<struct<word:string,n:long>>"))
 
-    def numbered():
-        name, head = words.value
-        number = held(("numbers", name), lambda: {w: i + 1 for i, w in enumerate(head)})
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.array([number.get(w, 0) for w in words_of(t)] + [number[END]], kind).tobytes() for t in raw_texts(batch)]
-            return pa.record_batch({c: batch.column(c) for c in ("doc_id", "o", "turn")} | {"ids": pa.array(ids, pa.binary())})
+def fit(docs: DataFrame, scratch: Scratch, cfg: Recurrent = Recurrent()) -> tuple[Model, DataFrame]:
+    """The model, and the counts of all words as a written table."""
+    model, counts = counted(docs, scratch, cfg)
+    if model.tokens and model.own:
+        trained(model, numbered(learned_from(doc_rows(docs), cfg), model, scratch))
+    return model, counts
 
-        return step
 
-    texts = scratch.keep(map_rows(dealt, numbered, "doc_id long, o long, turn int, ids binary"))
-    tasks = cfg.tasks or max(1, spark.sparkContext.defaultParallelism)
+def trained(model: Model, texts: DataFrame) -> None:
+    """texts: of the training documents, as numbered() gives them."""
+    cfg = model.cfg
+    tasks = cfg.tasks or max(1, texts.sparkSession.sparkContext.defaultParallelism)
     for turn in range(cfg.rounds):
         model.params = one_round(texts.filter(F.col("turn") == turn % cfg.share), model, tasks, turn)
-    return model, counts
 
 
 def one_round(texts: DataFrame, model: Model, tasks: int, turn: int) -> np.ndarray:
@@ -480,68 +547,47 @@ def one_round(texts: DataFrame, model: Model, tasks: int, turn: int) -> np.ndarr
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. counts: the model's words, of which its head is read in tasks and the rest is joined."""
-    cfg, shared = model.cfg, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
+    return scored(numbered(doc_rows(docs), model, scratch), model, counts)
+
+
+def scored(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """score() of what numbered() gives."""
+    cfg, shared = model.cfg, texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, replace(model, head=[])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, model = shared.value
-        number, net, table = held(("model", name), lambda: opened(model))
-        counts = np.append(model.counts, 0)
-        base = np.log10((counts + cfg.smooth) / model.base_total())
-        inside = np.log10((counts + cfg.smooth) / model.rest_total())
-        inside[: model.own] = 0  # the network's own words
-        row, keep, size = uuid.uuid4().int >> 65, [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal row
-            texts = [np.where(ids < model.own, ids + 1, 0) for _, _, ids, _ in keep]
-            lp = log_likelihoods(net, texts, table) / math.log(10) if net else np.zeros(len(keep))
-            found = [ids[ids < len(model.head)] for _, _, ids, _ in keep]
-            sums = [(len(ids), len(f), base[f].sum(), inside[f].sum()) for (_, _, ids, _), f in zip(keep, found)]
-            rest = [[{"word": w.decode(), "n": n} for w, n in more.items()] for _, _, _, more in keep]
-            out = pa.record_batch({
-                "doc_id": pa.array([k[0] for k in keep], pa.int64()), "tk": pa.array([k[1] for k in keep], pa.int64()), "row": pa.array(range(row, row + len(keep)), pa.int64()),
-                "n_tokens": pa.array([s[0] for s in sums], pa.int64()), "n_known": pa.array([s[1] for s in sums], pa.int64()), "base": pa.array([s[2] for s in sums], pa.float64()),
-                "model": pa.array([s[3] + x for s, x in zip(sums, lp)], pa.float64()), "rest": pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-            })
-            row += len(keep)
-            return out
-
-        unknown, get = len(model.head), number.get
+        net, table = held(("model", name), lambda: opened(model))
+        size = cfg.at_once * np.dtype(cfg.kind).itemsize
         for batch in batches:
-            for doc_id, tk, text in zip(batch.column("doc_id").to_pylist(), batch.column("tk").to_pylist(), raw_texts(batch)):
-                words = words_of(text)
-                words.append(END)
-                ids = np.fromiter(map(get, words, repeat(unknown)), np.int64, len(words))
-                more = Counter(map(words.__getitem__, np.flatnonzero(ids == unknown).tolist()))
-                keep.append((doc_id, tk, ids, more))
-                size += len(words)
-                if size >= cfg.at_once:
-                    yield flush()
-                    keep, size = [], 0
-        if keep:
-            yield flush()
-
-    rows = doc_rows(docs).withColumn("tk", F.xxhash64("text"))
-    seen = scratch.keep(rows.mapInArrow(run, "doc_id long, tk long, row long, n_tokens long, n_known long, base double, model double, rest array<struct<word:string,n:long>>"))
+            for some in portions(batch, size, "ids") if net else [batch]:
+                inside = some.column("inside")
+                if net:
+                    lp = log_likelihoods(net, [np.frombuffer(x, cfg.kind) for x in raw(some.column("ids"))], table)
+                    inside = pa.array(inside.to_numpy() + lp / math.log(10))
+                yield pa.record_batch({c: some.column(c) for c in ("doc_id", "tk", "row", "n_tokens", "n_known", "base")} | {"model": inside})
+
+    seen = texts.drop("o", "turn", "rest").mapInArrow(run, "doc_id long, tk long, row long, n_tokens long, n_known long, base double, model double")
     n, c, k = F.col("n"), F.coalesce("c", F.lit(0)), F.lit(cfg.smooth)
-    rest = seen.select("row", "tk", F.explode("rest").alias("x")).select("row", "tk", "x.word", "x.n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rest = texts.select("row", "tk", F.explode("rest").alias("x")).select("row", "tk", "x.word", "x.n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     adds = rest.groupBy("row", "tk").agg(F.sum(F.when(c > 0, n)).alias("more"), F.sum(n * F.log10((c + k) / model.base_total())).alias("base_more"), F.sum(n * F.log10((c + k) / model.rest_total())).alias("model_more"))
-    out = seen.drop("rest").join(adds, ["row", "tk"], "left")
+    out = seen.join(adds, ["row", "tk"], "left")
     with_rest = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     score = with_rest("model", "model_more") if model.params is not None else with_rest("base", "base_more")
     return out.select("doc_id", is_held_out(F.col("doc_id"), cfg.folds).alias("held_out"), "n_tokens", with_rest("n_known", "more").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), with_rest("base", "base_more").alias("base_score"), score.alias("score"))
 
 
-def opened(model: Model) -> tuple[dict[bytes, int], Net | None, np.ndarray | None]:
-    """What a worker holds: words by number, the network, and the gates' inputs of every word."""
-    number = {w: i for i, w in enumerate(model.head)}
+def opened(model: Model) -> tuple[Net | None, np.ndarray | None]:
+    """What a worker holds: the network, and the gates' inputs of every word."""
     if model.params is None:
-        return number, None, None
+        return None, None
     net = model.net()
-    return number, net, net.p["word"] @ net.p["wx"] + net.p["b"]
+    return net, net.p["word"] @ net.p["wx"] + net.p["b"]
 
 
 def fit_and_score(docs: DataFrame, cfg: Recurrent = Recurrent()) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
-        model, counts = fit(docs, scratch, cfg)
-        return cut(score(docs, model, counts, scratch))
+        model, counts = counted(docs, scratch, cfg)
+        texts = numbered(doc_rows(docs), model, scratch)
+        if model.tokens and model.own:
+            trained(model, learned_from(texts, cfg))
+        return cut(scored(texts, model, counts))

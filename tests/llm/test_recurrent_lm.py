@@ -118,6 +118,63 @@ def test_lanes_read_every_word_once():
     assert seen == Counter((int(a), int(b)) for t in texts for a, b in zip(np.append(t[-1], t[:-1]), t))
 
 
+def lane_by_lane(texts, cfg):
+    """windows() a word at a time."""
+    texts, lanes = lm.pieces(iter(texts), cfg.piece), [[] for _ in range(cfg.lanes)]
+    while True:
+        x, y, first, use = (np.zeros((cfg.steps, cfg.lanes), kind) for kind in (int, int, bool, bool))
+        for b, lane in enumerate(lanes):
+            for t in range(cfg.steps):
+                if not lane:
+                    if (piece := next(texts, None)) is None:
+                        break
+                    lane += zip([piece[0], *piece[1][:-1]], piece[1])
+                    first[t, b] = True
+                x[t, b], y[t, b] = lane.pop(0)
+                use[t, b] = True
+        if not use.any():
+            return
+        yield x, y, first, use
+
+
+@pytest.mark.parametrize("cfg", [SMALL, replace(SMALL, lanes=1), replace(SMALL, steps=30), replace(SMALL, piece=7), replace(SMALL, piece=3), replace(SMALL, steps=1)])
+def test_windows_are_those_word_by_word(cfg):
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(2, cfg.words, n), 1) for n in (0, 100, 3, 31, 29, 30, 7, 6, 13, 0, 59, 60, 200, 1)]
+    got, want = list(lm.windows(iter(texts), cfg)), list(lane_by_lane(texts, cfg))
+    assert len(got) == len(want)
+    for some, other in zip(got, want):
+        assert all(np.array_equal(p, q) for p, q in zip(some, other))
+
+
+def test_texts_are_split_for_counts_and_once_more(spark, rows, tmp_path, monkeypatch):
+    """Training and scoring share one table of word numbers."""
+    seen = str(tmp_path / "seen")
+
+    def watch(text):
+        with open(seen, "ab") as f:
+            f.write(b".")
+        return text.lower().split()
+
+    monkeypatch.setattr(lm, "words_of", watch)
+    assert lm.fit_and_score(docs(spark, rows), SMALL).count() == len(rows)
+    with open(seen, "rb") as f:
+        assert len(f.read()) == sum(i is not None and not held_out(i) for i, _ in rows) + len(rows)
+
+
+def test_numbers_of_a_portion_are_its_rows_own(spark):
+    """Texts of several portions, empty ones at their borders: every row has its own words, sums and words beyond the head."""
+    some = [(1, ""), (2, "w1 " * 400_000), (3, None), (4, "w2 rare rare w1"), (5, "w1 " * 300_000 + "once"), (6, "")]
+    cfg = replace(SMALL, head=3, folds=1_000_000_007)
+    got = {r.doc_id: r for r in lm.fit_and_score(docs(spark, some).coalesce(1), cfg).collect()}
+    tokens = {i: [*(t or "").split(), None] for i, t in some}
+    c = Counter(w for ts in tokens.values() for w in ts)
+    n, v = sum(c.values()), len(c)
+    for i, ts in tokens.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ts), len(ts), n)
+        assert math.isclose(got[i].base_score, sum(k * math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w, k in Counter(ts).items()), rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("cfg", [SMALL, replace(SMALL, head=10_000, most_words=20), lm.Recurrent(tasks=2)])
 def test_rows_by_hand(spark, rows, cfg):
     frame = docs(spark, rows).repartition(3)
