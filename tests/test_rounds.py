@@ -62,3 +62,25 @@ def test_first_of_keys_is_the_loop(spark, seed):
     frame = spark.createDataFrame(rows, "person int, id long, ks array<string>")
     assert {(r.person, r.id): r.holder for r in rounds.first_of_keys(frame, ["person"], "id", F.col("ks")).collect()} == want
     assert rounds.first_of_keys(frame.filter("false"), ["person"], "id", F.col("ks")).collect() == []
+
+
+def test_a_long_chain_is_no_round_a_link(spark, monkeypatch):
+    """Each link waits for the one before; in rounds of joins, every second one was a round of its own."""
+    kept, keep = [], rounds.Tables.keep
+    monkeypatch.setattr(rounds.Tables, "keep", lambda self, rows: kept.append(1) or keep(self, rows))
+    schema = "g string, a long, b long, drops_b boolean"
+    chain = [(None, a, a + 1, True) for a in range(1, 30)] + [("x", a, a + 1, a % 3 > 0) for a in range(1, 20)]
+    out = rounds.first_come(spark.createDataFrame(chain, schema), ["g"]).collect()
+    want = {(None if g == "" else g, d): k for (g, d), k in loop([(g or "", *p) for g, *p in chain]).items()}
+    assert {(r.g, r.dropped): r.kept for r in out} == want
+    assert len(kept) < 5
+
+
+@pytest.mark.parametrize("most", (0, 6))
+def test_rounds_and_order_agree(spark, most):
+    """Groups above the bound take rounds until they are below it."""
+    rng = random.Random(most)
+    pairs = {(g, *sorted(rng.sample(range(9), 2))): rng.random() < 0.7 for g in range(8) for _ in range(14)}
+    rows = [(*k, d) for k, d in pairs.items()]
+    out = rounds.first_come(spark.createDataFrame(rows, "g int, a long, b long, drops_b boolean"), ["g"], most).collect()
+    assert {(r.g, r.dropped): r.kept for r in out} == loop(rows)
