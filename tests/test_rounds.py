@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import rounds
+from foliant.operators import dedup, rounds
 
 
 def loop(pairs):
@@ -84,3 +84,42 @@ def test_rounds_and_order_agree(spark, most):
     rows = [(*k, d) for k, d in pairs.items()]
     out = rounds.first_come(spark.createDataFrame(rows, "g int, a long, b long, drops_b boolean"), ["g"], most).collect()
     assert {(r.g, r.dropped): r.kept for r in out} == loop(rows)
+
+
+def near_by_hand(rows):
+    """(g, a, b) of all pairs of (id, g, text) in a group."""
+    words = {i: set(w for w in t.split() if len(w) > 1) for i, _, t in rows}
+    out = set()
+    for a, g, _ in rows:
+        for b, h, _ in rows:
+            k = len(words[a] & words[b])
+            if g == h and a < b and k and (k / len(words[a] | words[b]) >= 0.6 or k / min(len(words[a]), len(words[b])) >= 0.75):
+                out.add((g, a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_rows_and_what_goes_of_them(spark, seed, monkeypatch):
+    """Copies by the dozen, near sets, longer and shorter texts; lists of two ids, and groups by rows or by pairs."""
+    rng, vocabulary = random.Random(seed), [f"w{k}" for k in range(7)]
+    rows = [(i, rng.choice("xyz"), " ".join(rng.choices(vocabulary[: 4 + seed], k=rng.randint(1, 5))) + " a" * rng.randint(0, 2)) for i in rng.sample(range(500), 150)]
+    frame = spark.createDataFrame([*rows, (900, "x", None), (901, "x", ""), (None, "x", "w1 w2"), (902, None, "w1 w2")], "id long, g string, t string")
+    monkeypatch.setattr(dedup, "ROWS_A_LIST", 2)
+    got = [(r.g, r.a, r.b) for r in dedup.near_pairs(frame, "id", "g", "t").collect()]
+    want = near_by_hand(rows)
+    assert set(got) == want and len(got) == len(want)
+    long = {i: len(t) for i, _, t in rows}
+    gone = set(loop([(g, a, b, long[b] <= long[a]) for g, a, b in want]))
+    for most in (0, 10**6):
+        out = [(r.g, r.dropped) for r in dedup.greedy_near(frame, "id", "g", "t", rows_a_task=most).collect()]
+        assert set(out) == gone and len(out) == len(gone)
+
+
+def test_no_pair_of_copies_is_shuffled(spark):
+    """Two thousand copies are two million pairs: they were shuffled twice."""
+    frame = spark.range(2000).select("id", F.lit("g").alias("g"), F.lit("large ring").alias("t"))
+    out = dedup.near_pairs(frame, "id", "g", "t")
+    assert out.count() == 2000 * 1999 // 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.index("Exchange") > final.index("Generate explode(ids_a")
