@@ -148,8 +148,7 @@ def near_dup_pairs(spark, d):
   lambda x, y: {{'a': 0, 'b': 0, 'd': false, 'gone': CASE WHEN list_contains(x.gone, y.a) OR list_contains(x.gone, y.b) THEN x.gone ELSE list_append(x.gone, CASE WHEN y.d THEN y.b ELSE y.a END) END}}).gone AS gone
 FROM ({NEAR}) JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b GROUP BY g)""")
 def greedy_dedup(spark, d):
-    parts = _parts(spark, d)
-    return dedup.greedy_keep(dedup.near_pairs(parts, "id", "g", "p_name"), parts.select("id", F.length("p_name").alias("n")))
+    return dedup.greedy_near(_parts(spark, d), "id", "g", "p_name")
 
 
 _docs_titles = "string_split(text, chr(10))[1]"
