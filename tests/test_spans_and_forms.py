@@ -86,3 +86,19 @@ def test_templates_belong_to_sources(spark):
     assert out[(11, "my own line")] == (2, False, False, None) and out[(20, "years held")] == (1, False, True, "b") and out[(12, "years held")][1]
     assert len(out) == 12
     assert templates.by_origin(lines.filter("false"), 0.5, 2).collect() == []
+
+
+def test_what_overlaps_is_not_shuffled(spark):
+    """Pairs of ids that stand in one group come out of the join as they are; they were grouped, so shuffled, all of them."""
+    day = lambda k: date(1990, 1, 1) + timedelta(days=k)
+    rows = [("a", i, day(400 * j + i), day(400 * j + i + 300)) for i in range(60) for j in range(1 + i % 3)]
+    frame = spark.createDataFrame(rows, "g string, id long, lo date, hi date")
+    out = spans.overlapping(frame.filter("id < 20"), frame, ["g"])
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[1] < 20 and a[1] != b[1] and (n := (min(a[3], b[3]) - max(a[2], b[2])).days) > 0:
+                want[(a[1], b[1])] = want.get((a[1], b[1]), 0) + n
+    assert {(r.id, r.other): r.days for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Aggregate [id_q" not in plan.apply(0).toString() and plan.children().head().nodeName() == "Project"
