@@ -79,3 +79,35 @@ def test_days_end_at_local_midnight_also_when_clocks_change(replay):
     assert len(seen) == 4
     out = replay(lambda s: keyed.daily_quota(s, 5, "America/New_York", "1 second"), "user_id long, token long, at timestamp", [[rows[:7], rows[7:20]], [rows[20:]]])
     assert {r.token: r.allowed for r in out} == want and len(out) == 60
+
+
+def test_a_new_batch_asks_the_store_little():
+    """Each call goes to the executor's JVM; a batch with three runs took two dozen."""
+    from types import SimpleNamespace
+
+    from foliant.streaming.keyed import _CompletedOnce
+
+    calls, held = [], {}
+
+    class Store:
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name == "update":
+                    held["v"] = a[0]
+                return {"get": held.get("v"), "exists": "v" in held, "containsKey": False, "listTimers": []}.get(name)
+
+            return call
+
+    class Handle(Store):
+        def getMapState(self, *a):
+            return Store()
+
+        getValueState = getMapState
+
+    p = _CompletedOnce(1000, 7000)
+    p.init(Handle())
+    rows = [SimpleNamespace(run_id=k % 3, ended=k > 2, expected=3, ms=k) for k in range(6)]
+    out = list(p.handleInputRows((7,), iter(rows), None))
+    assert [tuple(r) for r in out] == [(7, "complete", 3, 0)] and len(calls) <= 3
+    assert list(p.handleInputRows((7,), iter(rows), None)) == [] and len(calls) <= 4
